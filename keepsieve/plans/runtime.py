@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,14 @@ def local_session(name: str = "keepsieve", cpus: int | None = None) -> SparkSess
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def keep_table(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a Parquet table into the shared folder and reads it back.
+
+    Used where a result feeds several joins: it survives lost executors and is
+    stored compressed and column-wise, unlike a checkpoint.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/keepsieve-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

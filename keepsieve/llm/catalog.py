@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsieve.llm.lookalike import consistent_form, look_alike_pairs
+from keepsieve.llm.nearcopies import copy_groups, copy_pairs, near_copies
 from keepsieve.plans.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +40,21 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     """Title and body of every bookmark in the consistent form."""
     texts = read_table(spark, d, "bookmark").select("id", "title", "body")
     return consistent_form(texts, ["title", "body"]).select("id", "title_form", "body_form")
+
+
+#: TESTDATA.md defines copies by three-word sequences and a similarity of one half, from 40 words on.
+COPIES = {"id": "id", "text": "body", "words": 3, "least": 40, "threshold": 0.5}
+
+
+@query()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of bookmarks whose bodies share at least half of their three-word sequences."""
+    members, links = near_copies(read_table(spark, d, "bookmark"), **COPIES)
+    return copy_pairs(members, links).select(F.col("a").alias("bookmark_a"), F.col("b").alias("bookmark_b"))
+
+
+@query()
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every compared bookmark with the group of bookmarks that hold the same text in substance."""
+    members, links = near_copies(read_table(spark, d, "bookmark"), **COPIES)
+    return copy_groups(members, links).withColumnRenamed("id", "bookmark")

@@ -126,14 +126,14 @@ def shingle_sets(texts: list[str | None], words: int, least: int) -> tuple[np.nd
     return own[new], h[new]
 
 
-def sketches(texts: DataFrame, *, id: str, text: str, words: int, least: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(id, key1, key2, n, shingles, bits, bands) of each text with at least ``least`` words.
+def sketches(texts: DataFrame, *, words: int, least: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(id, text, bits, bands) of each of ``texts`` (id, text) with at least ``least`` words.
 
-    key1, key2 stand for the exact set, shingles are its 32-bit hashes in order,
-    bits one bit per coordinate of the signature, bands one hash per band.
+    bits holds one bit per coordinate of the signature, bands one 32-bit hash
+    per band: chance meetings of such hashes are rarer than those of unlike texts.
     """
     k = rows * bands
-    schema = "id bigint, key1 bigint, key2 bigint, n int, shingles array<int>, bits array<bigint>, bands array<bigint>"
+    schema = "id bigint, text string, bits array<bigint>, bands array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +144,6 @@ def sketches(texts: DataFrame, *, id: str, text: str, words: int, least: int, ro
                 if len(kept) == 0:
                     continue
                 sig = dart_signatures(h, np.ones(len(h)), dense, len(kept), k)
-                starts = np.searchsorted(dense, np.arange(len(kept)))
                 joined = np.zeros((len(kept), bands), _U)
                 for r in range(rows):
                     joined = _mix(joined * _U(0x9E3779B97F4A7C15) + sig[:, r::rows].astype(_U) + _U(1))
@@ -152,58 +151,69 @@ def sketches(texts: DataFrame, *, id: str, text: str, words: int, least: int, ro
                 flags = np.zeros((len(kept), -(-k // 64) * 64), np.uint8)
                 flags[:, :k] = _mix(sig.astype(_U)) & _U(1)
                 bits = np.packbits(flags, axis=1).view(np.int64)
-                counts = np.bincount(dense, minlength=len(kept))
-                with np.errstate(over="ignore"):
-                    key1, key2 = np.add.reduceat(_mix(h), starts), np.add.reduceat(_mix(h ^ _U(0x2545F4914F6CDD1D)), starts)
-                edges = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                short = (h & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                taken = pa.array(kept)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(pa.array(kept)),
-                        pa.array(key1.view(np.int64)),
-                        pa.array(key2.view(np.int64)),
-                        pa.array(counts.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(edges), pa.array(short)),
+                        part.column(0).take(taken),
+                        part.column(1).take(taken),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)), pa.array(bits.ravel())),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(kept) * bands + 1, bands, dtype=np.int32)), pa.array(joined.view(np.int64).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(kept) * bands + 1, bands, dtype=np.int32)), pa.array((joined >> _U(32)).astype(np.uint32).view(np.int32).ravel())),
                     ],
-                    names=["id", "key1", "key2", "n", "shingles", "bits", "bands"],
+                    names=["id", "text", "bits", "bands"],
                 )
 
-    return texts.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
+
+
+def _similarity(words: int):
+    """Exact Jaccard similarity of the sets of word sequences of two texts."""
+
+    @F.pandas_udf("double")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            sets: dict[str, set] = {}
+            for text in {*left, *right}:
+                w = _WORD.findall(text.lower())
+                sets[text] = set(zip(*(w[j:] for j in range(words)), strict=False))
+            yield pd.Series([len(sets[x] & sets[y]) / max(1, len(sets[x] | sets[y])) for x, y in zip(left, right, strict=True)], dtype="float64")
+
+    return of
 
 
 def near_copies(texts: DataFrame, *, id: str, text: str, words: int = 5, least: int = 0, threshold: float = 0.8, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
-    """(members, links): every compared text with its class of equal sets, and links between classes.
-
-    members (id, rep): rep is the smallest id with the same set of word
-    sequences. links (a, b, similarity), a < b: class representatives whose
-    Jaccard similarity is at least ``threshold``, checked exactly on the sets.
-    Texts with fewer than ``least`` words (or than ``words``) take no part; null
-    ids or texts neither. An id that comes with several texts is a member of
-    several classes. Empty tables give empty results; other columns are ignored.
+    """(members, links): every compared text with its class of equal texts, and links between classes.
+
+    members (id, rep): rep is the smallest id with the same text. links (a, b,
+    similarity), a < b: class representatives whose sets of distinct word
+    sequences have a Jaccard similarity of at least ``threshold``, checked
+    exactly on the texts. Texts with fewer than ``least`` words (or than
+    ``words``) take no part; null ids or texts neither. An id that comes with
+    several texts is a member of several classes. Empty tables give empty
+    results; other columns are ignored.
     """
-    made = keep_table(sketches(texts, id=id, text=text, words=words, least=least, rows=rows, bands=bands))
-    classes = made.groupBy("key1", "key2").agg(F.min("id").alias("rep"))
-    members = made.select("id", "key1", "key2").join(classes, ["key1", "key2"]).select("id", "rep").distinct()
-    # one sketch per class: that of the representative
-    reps = made.join(classes.select("key1", "key2", F.col("rep").alias("id")), ["key1", "key2", "id"], "left_semi").dropDuplicates(["key1", "key2"])
+    given = texts.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    given = given.select("id", "text", F.xxhash64("text").alias("key1"), F.hash("text").alias("key2"))
+    # copies meet before anything is computed on them; partial aggregation leaves one per task
+    classes = given.groupBy("key1", "key2").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("rep"))
+    reps = keep_table(sketches(classes.select("rep", "text"), words=words, least=least, rows=rows, bands=bands))
+    owners = given.groupBy("key1", "key2").agg(F.min("id").alias("rep"))
+    members = given.select("id", "key1", "key2").join(owners, ["key1", "key2"]).select("id", "rep").distinct()
+    members = members.join(reps.select(F.col("id").alias("rep")), "rep", "left_semi").select("id", "rep")
     keyed = reps.select("id", F.explode("bands").alias("band"))
     shared = keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")))
     pairs = shared.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    # one bit per coordinate tells chance meetings from copies before any set is moved;
+    # one bit per coordinate tells chance meetings from copies before any text is moved;
     # a pair at the threshold falls below the mark with less than one in a thousand
     k = rows * bands
-    expected = k * (1 + threshold) / 2
-    mark = expected - 3.3 * (k * (1 + threshold) / 2 * (1 - threshold) / 2) ** 0.5
+    agree = (1 + threshold) / 2
+    mark = k * agree - 3.3 * (k * agree * (1 - agree)) ** 0.5
     bits = reps.select("id", "bits")
     differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     met = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
     likely = met.where(F.lit(k) - differ >= mark).select("a", "b")
-    sets = reps.select("id", "n", "shingles")
-    both = likely.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    links = both.select("a", "b", (inter / (F.col("na") + F.col("nb") - inter)).alias("similarity")).where(F.col("similarity") >= threshold)
+    bodies = reps.select("id", "text")
+    both = likely.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(bodies.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    links = both.select("a", "b", _similarity(words)("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= threshold)
     return members, keep_table(links)
 
 

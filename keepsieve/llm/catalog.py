@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepsieve.llm.boilerplate import main_bodies, outside_lines
 from keepsieve.llm.lookalike import consistent_form, look_alike_pairs
 from keepsieve.llm.nearcopies import copy_groups, copy_pairs, near_copies
+from keepsieve.llm.residue import blocked_pages
 from keepsieve.plans.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +60,27 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every compared bookmark with the group of bookmarks that hold the same text in substance."""
     members, links = near_copies(read_table(spark, d, "bookmark"), **COPIES)
     return copy_groups(members, links).withColumnRenamed("id", "bookmark")
+
+
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of saved pages that are not part of the page's main body."""
+    return outside_lines(read_table(spark, d, "link")).select("bookmark", "ordinal", F.col("line_no").cast("int").alias("line_no"))
+
+
+@query()
+def p1_main(spark: SparkSession, d: str) -> DataFrame:
+    """The article's own lines of every saved page."""
+    return main_bodies(read_table(spark, d, "link"))
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Links whose body holds residue in place of a page's content."""
+    return blocked_pages(read_table(spark, d, "link")).where("blocked").select("bookmark", "ordinal")
+
+
+@query()
+def p3_content(spark: SparkSession, d: str) -> DataFrame:
+    """Links with real content."""
+    return blocked_pages(read_table(spark, d, "link")).where(~F.col("blocked")).select("bookmark", "ordinal")

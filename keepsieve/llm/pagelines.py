@@ -30,7 +30,7 @@ Werbung|Mediadaten|Accesibilidad|Accessibilité|Barrierefreiheit|Aviso legal|Pri
 Nach oben|Volver arriba|Haut de page|Saltar al contenido|Aller au contenu|Zum Inhalt springen|Rechazar|Configurar|Aceptar todo|Aceptar|De acuerdo|
 Tout accepter|Refuser|Paramétrer|J'ai compris|Alle akzeptieren|Ablehnen|Einstellungen|Verstanden|SITE"""
 # Beginnings or whole shapes of furniture lines.
-FURNITURE_SHAPES = """©.*|copyright ©?.*|version [0.]+ – report a problem with this page|follow us\\b.*|0 (shares|comments|replies|likes|kommentare|comentarios|commentaires|reacties)\\b.*|
+FURNITURE_SHAPES = """©.*|copyright ©?.*|version [0.]+ – report a problem with this page|follow us( on)?:.*|0 (shares|comments|replies|likes|kommentare|comentarios|commentaires|reacties)\\b.*|
 rate this page\\b.*|share this\\b.*|(compartir|partager|artikel teilen)\\s?:.*|reading time: .*|listen to this article\\b.*|enable scripts to see the .*(replies|comments).*|
 the views expressed by .* do not reflect .*|sign up for our newsletter\\b.*|get SITE in your inbox\\b.*|support independent writing\\b.*|click here to follow\\b.*|
 please disable your ad ?blocker\\b.*|enjoying this\\? .*subscri.*|reproduction (only|interdite)\\b.*|(prohibida la reproducción|nachdruck nur)\\b.*|SITE is published by .*|
@@ -65,13 +65,18 @@ FIELD = re.compile(
     r"|\[(?:[Ii]nsert|[Yy]our|[Aa]dd|[Ee]nter)\b[^\[\]]{0,50}\]|&lt;[a-z_]{2,30}&gt;|\*\|[A-Z_:]{2,40}\|\*|<<[A-Za-z_ ]{2,40}>>"
 )
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:let|const|var|def|return|import|from|for|while|if|else|fn|func|print)\b.*[(){}=:]|^\s*[#$>]\s?\w+ .*(?:--?\w)|^\s*</?\w+[^>]*>\s*$")
+_MARKS = re.compile(r"[;{}()=<>#$%\[\]_*&]")
+_NUMBERED = re.compile(r"\d+[.)] ")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->")
 _ENDS = re.compile(r"[.!?…。](?:[\"'”»)\]]*)(?:\s|$)")
+_DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _ADDRESS = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+|(?<=\s)/[\w/.-]+|\b[0-9a-f]{8,}\b")
 _DATE = re.compile(r"\b\d{4}-\d\d?-\d\d?\b|\b\d\d?[./]\d\d?[./]\d{2,4}\b")
-_WEAK = re.compile(r"\b(?:errors?|scripts?|javascript|js|browser|loading|session|server|reload|refresh|unavailable|expired|suspended|forbidden|denied|gateway|timeout|try again|not found|no longer|broken|placeholder|lorem)\b", re.I)
+_WEAK = re.compile(r"\b(?:errors?|fehler|erreur|request id|own words|own text|scripts?|javascript|js|browser|loading|session|server|reload|refresh|unavailable|expired|suspended|forbidden|denied|gateway|timeout|try again|not found|no longer|broken|placeholder|lorem)\b", re.I)
 _BYLINE = re.compile(r"(?:By|Von|Por|Par|Door) (?:[A-Z][\w.'’-]+ ?){1,4}|[A-ZÀ-Þ][a-zß-ÿ]+ [A-ZÀ-Þ][a-zß-ÿ]+")
+_EDGE = ".,;:!?\"'()[]…"
+_EDGES = str.maketrans(dict.fromkeys(_EDGE, " "))
 _GLUE = " ·|/›»>•,–-*\t"
 
 
@@ -101,7 +106,9 @@ def _rules() -> dict:
         "phrases": {p.casefold() for p in _split(PHRASES)} | {p.casefold() for p in labels},
         "heads": {p.casefold() for p in _split(TEASER_HEADS)},
         "furniture": re.compile("|".join(f"(?:{s.replace('SITE', 'site')})" for s in _shapes(FURNITURE_SHAPES)), re.I),
-        "residue": re.compile("|".join(f"(?:{s})" for s in _shapes(RESIDUE_SHAPES)), re.I),
+        # shapes that may begin anywhere are tried only on lines with a word of such messages
+        "residue": re.compile("|".join(f"(?:{s})\\Z" for s in _shapes(RESIDUE_SHAPES) if not s.startswith(".*"))),
+        "within": re.compile("|".join(f"(?:{s})\\Z" for s in _shapes(RESIDUE_SHAPES) if s.startswith(".*"))),
     }
 
 
@@ -137,20 +144,21 @@ def masked(text: str, site: re.Pattern | None) -> str:
     """Dates, addresses, numbers and the site's own name replaced by marks; case folded."""
     if site is not None:
         text = site.sub("SITE", text)
-    text = _DATE.sub("0", text)
-    text = _ADDRESS.sub("ADDRESS", text)
-    return _NUMBER.sub("0", text).casefold()
+    if _DIGIT.search(text):
+        text = _NUMBER.sub("0", _ADDRESS.sub("ADDRESS", _DATE.sub("0", text)))
+    elif "/" in text or "@" in text or "www." in text:
+        text = _ADDRESS.sub("ADDRESS", text)
+    return text.casefold()
 
 
-def looks_filler(text: str) -> bool:
-    words = re.findall(r"\w+", text.casefold())
-    if not words:
-        return False
+def looks_filler(folded: str) -> bool:
+    """Whether a case-folded text is filler: known filler words, a stand-in sentence, or the same few words over and over."""
+    words = folded.translate(_EDGES).split()
     if words[:2] == ["lorem", "ipsum"]:
         return True
-    if len(words) >= 3 and sum(w in FILLER for w in words) >= 0.7 * len(words):
+    if len(words) >= 3 and not FILLER.isdisjoint(words) and sum(w in FILLER for w in words) >= 0.7 * len(words):
         return True
-    if "goes here" in text.casefold() and len(words) <= 60 and len(set(words)) <= 6:
+    if "goes here" in folded and len(words) <= 60 and len(set(words)) <= 6:
         return True
     return len(words) >= 12 and len(set(words)) <= len(words) / 4
 
@@ -160,45 +168,55 @@ def classify(raw: str, text: str, mask: str, words: int) -> int:
     rules = _rules()
     if not text:
         return RESIDUE if FIELD.search(raw) else FURNITURE if raw.strip() else BLANK
-    code = _CODE.search(plain_line(FIELD.sub(" ", raw))) is not None
-    if not code and words <= 30 and (hits := FIELD.findall(raw)):
-        bare = FIELD.sub(" ", raw)
-        rest = len(re.findall(r"\w+", _TAG.sub(" ", bare)))
-        if rest <= 3 + 3 * len(hits):
+    if mask in rules["phrases"]:
+        return FURNITURE
+    if mask in rules["heads"]:
+        return TEASER_HEAD
+    code = False
+    if _MARKS.search(raw):
+        hits = FIELD.findall(raw) if words <= 30 else ()
+        code = _CODE.search(plain_line(FIELD.sub(" ", raw)) if hits else text) is not None
+        if hits and not code and len(re.findall(r"\w+", _TAG.sub(" ", FIELD.sub(" ", raw)))) <= 3 + 3 * len(hits):
             return RESIDUE
-    if looks_filler(text):
+    if looks_filler(mask):
         return RESIDUE
     if code:
         return CODE
-    body = mask.lstrip("*•‣◦▪ ").strip() if not mask.startswith("- ") else mask
-    if words <= 60:
-        if body in rules["heads"]:
-            return TEASER_HEAD
-        if body in rules["phrases"] or rules["furniture"].fullmatch(body) or rules["row"].fullmatch(body) or rules["row_own"].fullmatch(body):
+    if mask.startswith("- "):
+        return ITEM
+    body = mask.lstrip("*•‣◦▪ ") if mask[0] in "*•‣◦▪" else mask
+    if words <= 40:
+        if words <= 30 and mask[-1] not in ".!?" and (rules["row"].fullmatch(body) or rules["row_own"].fullmatch(body)):
             return FURNITURE
-        pieces = [p.strip() for p in re.split(r"\s[·|/›»•–]\s", body)]
-        if len(pieces) > 1 and all(p in rules["phrases"] for p in pieces):
+        if body in rules["phrases"] or rules["furniture"].fullmatch(body):
             return FURNITURE
+        if words <= 16 and any(c in body for c in "·|/›»•–"):
+            pieces = [p.strip() for p in re.split(r"\s[·|/›»•–]\s", body)]
+            if len(pieces) > 1 and all(p in rules["phrases"] for p in pieces):
+                return FURNITURE
     if words <= 6 and _BYLINE.fullmatch(text):
         return BYLINE
     ends = len(_ENDS.findall(text))
-    if words <= 30 and ends <= 3 and rules["residue"].fullmatch(body):
+    weak = words <= 30 and ends <= 3 and _WEAK.search(body) is not None
+    if words <= 30 and ends <= 3 and (rules["residue"].match(body) or (weak and rules["within"].match(body))):
         return RESIDUE
-    if mask.startswith("- ") or re.match(r"\d+[.)] ", text):
+    if _NUMBERED.match(text):
         return ITEM
     if ends >= 2 or words > 30:
         return PARAGRAPH
-    return DOUBTFUL if words <= 20 and _WEAK.search(text) else OTHER
+    return DOUBTFUL if weak and words <= 20 else OTHER
+
+
+#: Lines that don't name their site, with what was found for them; bounded, per worker.
+_SEEN: dict[str, tuple[str, str, int, int]] = {}
 
 
 def describe_pages(urls: list[str | None], bodies: list[str]) -> list[tuple[str, str, np.ndarray, np.ndarray, np.ndarray]]:
     """Per page: host, section, and for each line its hash, class and number of words."""
     keys_text: list[str] = []
     pages = []
-    cache: dict[tuple[str, str], tuple[str, int, int]] = {}
     for url, body in zip(urls, bodies, strict=True):
         host, section, topic = address_parts(url)
-        site = site_pattern(host)
         stem = host.split(".")[0][:3]
         classes, sizes = [], []
         for raw in body.split("\n"):
@@ -207,19 +225,24 @@ def describe_pages(urls: list[str | None], bodies: list[str]) -> list[tuple[str,
                 classes.append(BLANK)
                 sizes.append(0)
                 continue
-            got = cache.get((host, raw)) if len(raw) < 200 else None
-            if got is None:
+            short = len(raw) < 240
+            got = _SEEN.get(raw) if short else None
+            if got is None or (stem and stem in got[0]):
                 text = plain_line(raw)
                 words = text.count(" ") + 1 if text else 0
-                if words > 60:
-                    mask, kind = text.casefold(), RESIDUE if looks_filler(text) else PARAGRAPH
+                folded = text.casefold()
+                if words > 40:
+                    mask = folded
+                    kind = RESIDUE if looks_filler(mask) else PARAGRAPH
                 else:
-                    mask = masked(text, site if stem in text.casefold() else None)
+                    mask = masked(text, site_pattern(host) if stem and stem in folded else None)
                     kind = classify(raw, text, mask, words)
-                got = mask, kind, words
-                if len(raw) < 200:
-                    cache[host, raw] = got
-            mask, kind, words = got
+                if short and not (stem and stem in folded):
+                    if len(_SEEN) > 100_000:
+                        _SEEN.clear()
+                    _SEEN[raw] = folded, mask, kind, words
+            else:
+                _, mask, kind, words = got
             if topic and kind in (OTHER, DOUBTFUL, PARAGRAPH, ITEM) and topic in mask:
                 kind += OWN_TOPIC
             keys_text.append(mask)

@@ -11,6 +11,7 @@ from keepsieve.llm.boilerplate import main_bodies, outside_lines
 from keepsieve.llm.lookalike import consistent_form, look_alike_pairs
 from keepsieve.llm.nearcopies import copy_groups, copy_pairs, near_copies
 from keepsieve.llm.residue import blocked_pages
+from keepsieve.llm.subjects import document_subjects
 from keepsieve.plans.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +85,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_content(spark: SparkSession, d: str) -> DataFrame:
     """Links with real content."""
     return blocked_pages(read_table(spark, d, "link")).where(~F.col("blocked")).select("bookmark", "ordinal")
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return document_subjects(read_table(spark, d, "documents"), read_table(spark, d, "subject_label"), read_table(spark, d, "subject_area"))
+
+
+@query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the subjects of at least a quarter of their sentences."""
+    return _subjects(spark, d).select(F.col("id").alias("doc_id"), "subject")
+
+
+@query()
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and share of the corpus in code points, by subject and source; a document counts in equal parts for its subjects."""
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars")
+    own = _subjects(spark, d)
+    parts = own.groupBy("id").agg(F.count("*").alias("k"))
+    joined = own.join(parts, "id").join(docs, "id")
+    return joined.groupBy("source", "subject").agg(F.count("*").alias("documents"), F.sum(F.col("n_chars") / F.col("k")).alias("chars"))

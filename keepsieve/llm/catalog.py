@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from keepsieve.llm.boilerplate import main_bodies, outside_lines
 from keepsieve.llm.lookalike import consistent_form, look_alike_pairs
+from keepsieve.llm.mixing import mix
 from keepsieve.llm.nearcopies import copy_groups, copy_pairs, near_copies
+from keepsieve.llm.packing import pack
+from keepsieve.llm.pairs import tag_pairs
 from keepsieve.llm.residue import blocked_pages
 from keepsieve.llm.subjects import document_subjects
 from keepsieve.plans.runtime import read_table
@@ -105,3 +108,64 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     parts = own.groupBy("id").agg(F.count("*").alias("k"))
     joined = own.join(parts, "id").join(docs, "id")
     return joined.groupBy("source", "subject").agg(F.count("*").alias("documents"), F.sum(F.col("n_chars") / F.col("k")).alias("chars"))
+
+
+#: Pairs in at least so many bookmarks, at least so many times as often as by chance.
+PAIR_LEAST, PAIR_LIFT = 5, 8
+_TAGS_SQL = r"""
+WITH t AS (SELECT DISTINCT bookmark, lower(regexp_replace(tag, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS tag FROM tag WHERE bookmark IS NOT NULL),
+c AS (SELECT * FROM t WHERE tag <> ''), m AS (SELECT tag, count(*) AS n FROM c GROUP BY tag), n AS (SELECT count(DISTINCT bookmark) AS n FROM c),
+p AS (SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS n_ab FROM c a JOIN c b ON a.bookmark = b.bookmark AND a.tag < b.tag GROUP BY 1, 2)
+"""
+
+
+@query(
+    _TAGS_SQL
+    + """SELECT p.tag_a, p.tag_b FROM p JOIN m x ON x.tag = p.tag_a JOIN m y ON y.tag = p.tag_b CROSS JOIN n
+WHERE n_ab >= 5 AND n_ab * n.n >= 8 * x.n * y.n"""
+)
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of tags that occur together often, and far more often than by chance."""
+    scores = tag_pairs(read_table(spark, d, "tag")).scores(least=PAIR_LEAST)
+    exact = (F.col("n_ab").cast("decimal(19,0)") * F.col("n")) >= PAIR_LIFT * F.col("n_a").cast("decimal(19,0)") * F.col("n_b")
+    return scores.where(exact).select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
+
+
+@query(
+    _TAGS_SQL
+    + """SELECT p.tag_a, p.tag_b, p.n_ab, round(p.n_ab * n.n / (x.n * y.n::DOUBLE), 6) AS ratio
+FROM p JOIN m x ON x.tag = p.tag_a JOIN m y ON y.tag = p.tag_b CROSS JOIN n"""
+)
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of tags with its number of bookmarks and its ratio to the number expected by chance."""
+    scores = tag_pairs(read_table(spark, d, "tag")).scores()
+    return scores.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", F.round("lift", 6).alias("ratio"))
+
+
+@query()
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one longer than the largest capacity, in its container."""
+    return pack(read_table(spark, d, "documents"), read_table(spark, d, "container_size")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used of each capacity, tokens in them and share of the room used."""
+    packed = pack(read_table(spark, d, "documents"), read_table(spark, d, "container_size"))
+    used = packed.groupBy("container", "shard", "number").agg(F.sum("tokens").alias("tokens"))
+    used = used.groupBy("container").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
+    sizes = read_table(spark, d, "container_size")
+    return used.join(sizes, "container").select("container", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
+@query()
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the mix, with their repeats."""
+    chosen, _ = mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_target"))
+    return chosen.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of tokens of each source."""
+    return mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_target"))[1]

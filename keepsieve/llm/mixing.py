@@ -128,11 +128,9 @@ def mix(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", text: str =
         step = 1 if left > 0 else -1
         for key, size, w, p in pdf.sort_values(["tokens", "id"], ascending=[False, True])[["id", "tokens", "whole", "p"]].itertuples(index=False):
             copies = int(w + round(p))
-            if size <= abs(left) + size / 2 and abs(left) >= size / 2 and 0 <= copies + step <= bound[name]:
+            if size <= abs(left) and 0 <= copies + step <= bound[name]:
                 left -= step * size
                 flips.append((key, step))
-                if left * step <= 0:
-                    break
         return pd.DataFrame(flips, columns=["id", "flip"])
 
     flips = done[0].where("leaf = 0").groupBy("source").applyInPandas(settle, "id bigint, flip int")

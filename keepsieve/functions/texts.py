@@ -40,7 +40,7 @@ def _marked(text: Column, mark: str, strict: bool) -> Column:
     before = r"(?<![A-Za-z0-9])" if strict else ""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(before + mark + r"([A-Za-z0-9_]*[A-Za-z][A-Za-z0-9_]*(?:;|(?![A-Za-z0-9_;])))"), 1)
     real = F.filter(found, lambda t: ~t.rlike(r"^(?:[xX][0-9A-Fa-f]+|[0-9]+);$"))
-    return F.array_distinct(F.transform(real, lambda t: ascii_lower(F.rtrim(F.lit(";"), t) if False else F.regexp_replace(t, ";$", ""))))
+    return F.array_distinct(F.transform(real, lambda t: ascii_lower(F.regexp_replace(t, ";$", ""))))
 
 
 def hashtags(text: Column, strict: bool = False) -> Column:

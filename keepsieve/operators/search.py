@@ -104,10 +104,18 @@ def porter_tokens(text: Column) -> Column:
     return of(text)
 
 
+def _weighted(terms: Column, weight: float) -> Column:
+    return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+
+def _times(terms: str, term: str) -> Column:
+    return F.size(F.filter(terms, lambda x: x == term))
+
+
 def postings(items: DataFrame, *, id: str = "id", fields: dict[str, str] | None = None, analyzer=tokens) -> DataFrame:
     """(term, id, weighted, tf): occurrences of each term in each item, weighted by field."""
     fields = fields or {k: k for k in WEIGHTS}
-    parts = F.concat(*[F.transform(analyzer(F.col(c)), lambda t, w=WEIGHTS[k]: F.struct(t.alias("term"), F.lit(w).alias("w"))) for k, c in fields.items()])
+    parts = F.concat(*[_weighted(analyzer(F.col(c)), WEIGHTS[k]) for k, c in fields.items()])
     flat = items.select(F.col(id).alias("id"), F.explode(parts).alias("x"))
     return flat.groupBy(F.col("x.term").alias("term"), "id").agg(F.sum("x.w").alias("weighted"), F.count("*").alias("tf"))
 
@@ -127,7 +135,7 @@ def bm25(items: DataFrame, text: str, *, id: str = "id", fields: dict[str, str]
     base = items.select(F.col(id).alias("id"), *[v.alias(k) for k, v in lists.items()])
     length = sum((F.size(k) for k in fields), F.lit(0))
     scored = base.select(
-        "id", length.alias("dl"), *[sum((F.lit(WEIGHTS[k]) * F.size(F.filter(k, lambda x, t=t: x == t)) for k in fields), F.lit(0.0)).alias(f"w{i}") for i, t in enumerate(terms)]
+        "id", length.alias("dl"), *[sum((F.lit(WEIGHTS[k]) * _times(k, t) for k in fields), F.lit(0.0)).alias(f"w{i}") for i, t in enumerate(terms)]
     )
     stats = scored.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"w{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
     any_term = " OR ".join(f"w{i} > 0" for i in range(len(terms)))

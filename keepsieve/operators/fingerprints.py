@@ -19,20 +19,21 @@ def simhash64(tokens: Column) -> Column:
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, np.ndarray] = {}
         for lists in batches:
+            sizes = np.array([0 if x is None else len(x) for x in lists])
             out = np.zeros(len(lists), np.int64)
-            for i, words in enumerate(lists):
-                if words is None or len(words) == 0:
-                    continue
-                rows = []
-                for w in words:
-                    if (v := known.get(w)) is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        v = known[w] = np.unpackbits(np.frombuffer(hashlib.md5(w.encode()).digest()[:8], np.uint8)).astype(np.int32) * 2 - 1
-                    rows.append(v)
-                out[i] = np.packbits(np.sum(rows, axis=0) > 0).view(">i8")[0]
+            if sizes.any():
+                flat = np.concatenate([x for x in lists if x is not None and len(x)])
+                codes, names = pd.factorize(flat)
+                digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:8] for w in names), np.uint8).reshape(-1, 8)
+                bits = np.unpackbits(digests, axis=1).astype(np.int32) * 2 - 1
+                full = np.flatnonzero(sizes)
+                starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
+                for lo in range(0, len(full), 2000):  # the bit matrix of a slice at a time
+                    hi = min(lo + 2000, len(full))
+                    first, last = starts[lo], starts[hi] if hi < len(full) else len(codes)
+                    sums = np.add.reduceat(bits[codes[first:last]], starts[lo:hi] - first, axis=0)
+                    out[full[lo:hi]] = np.packbits(sums > 0, axis=1).view(">i8").ravel()
             yield pd.Series(out)
 
     return of(tokens)

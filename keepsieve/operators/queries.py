@@ -9,7 +9,7 @@ from keepsieve.functions import texts, urls
 from keepsieve.operators import fingerprints, query, rules, search, stages
 from keepsieve.operators.catalog import query as register
 from keepsieve.operators.store import edit_tags, latest_wins, new_items, replace_rows, stamp
-from keepsieve.plans.runtime import read_table
+from keepsieve.plans.runtime import read_table, spread
 from keepsieve.sinks import render
 
 HOST = f"regexp_replace(lower(regexp_extract({{u}}, '{urls.HOST_PATTERN}', 1)), '^(www\\.)+', '')"
@@ -312,7 +312,7 @@ SELECT id, sum(CASE WHEN c > 0 THEN 1 ELSE 0 END)::BIGINT AS ones, sum(CASE WHEN
 def simhash(spark: SparkSession, d: str) -> DataFrame:
     """Set bits and lower half of each bookmark's SimHash."""
     tokens = texts.fingerprint_tokens(F.col("title"), F.col("body"))
-    got = read_table(spark, d, "bookmark").select("id", tokens.alias("t")).where(F.size("t") > 0).select("id", fingerprints.simhash64(F.col("t")).alias("f"))
+    got = spread(read_table(spark, d, "bookmark").select("id", "title", "body")).select("id", tokens.alias("t")).where(F.size("t") > 0).select("id", fingerprints.simhash64(F.col("t")).alias("f"))
     return got.select("id", F.bit_count("f").cast("bigint").alias("ones"), F.col("f").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
 
 

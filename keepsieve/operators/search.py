@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsieve.functions.texts import ascii_lower, bigrams, query_terms
+from keepsieve.plans.runtime import spread
 
 #: Weights of title, body and extra, and the constants of the ranking.
 WEIGHTS, K1, B, IDF_FLOOR = {"title": 3.0, "body": 1.0, "extra": 1.5}, 1.2, 0.75, 1e-6
@@ -152,8 +153,12 @@ def bm25(items: DataFrame, text: str, *, id: str = "id", fields: dict[str, str]
     return want.select("id", "bm25", "matched").orderBy("bm25", "id").limit(depth)
 
 
-def bigram_candidates(items: DataFrame, text: str, *, id: str = "id", content: str = "text", every: bool = False) -> DataFrame:
-    """(id): items that share a pair of characters with the query, or every pair that occurs at all."""
+def bigram_candidates(items: DataFrame, text: str, *, id: str = "id", content: str = "text", every: bool = False, edits: int | None = None) -> DataFrame:
+    """(id): items that share a pair of characters with the query, or every pair that occurs at all.
+
+    With ``edits``, items that can hold the query up to so many edits: an edit
+    spoils two pairs at most, so fewer missing ones are certain to be too many.
+    """
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     wanted = sorted({low[i : i + 2] for i in range(len(low) - 1) if all(" " <= c <= "~" for c in low[i : i + 2])})
     if not wanted:
@@ -161,7 +166,8 @@ def bigram_candidates(items: DataFrame, text: str, *, id: str = "id", content: s
     lowered = items.select(F.col(id).alias("id"), ascii_lower(F.coalesce(F.col(content), F.lit(""))).alias("t"))
     flags = [F.contains("t", F.lit(w)) for w in wanted]
     if not every:
-        return lowered.where(sum((f.cast("int") for f in flags), F.lit(0)) > 0).select("id")
+        least = 1 if edits is None else max(1, len(wanted) - 2 * edits)
+        return lowered.where(sum((f.cast("int") for f in flags), F.lit(0)) >= least).select("id")
     known = lowered.agg(*[F.max(f).alias(f"k{i}") for i, f in enumerate(flags)])
     test = [(~F.col(f"k{i}")) | f for i, f in enumerate(flags)]
     some = sum((F.col(f"k{i}").cast("int") for i in range(len(wanted))), F.lit(0)) > 0
@@ -171,53 +177,78 @@ def bigram_candidates(items: DataFrame, text: str, *, id: str = "id", content: s
     return both.select("id")
 
 
+def _distances(codes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fewest edits, first column where a match of so few ends) of a pattern of up to 64 characters in each row.
+
+    Myers' bit-parallel scan (1999), one column of all rows at a time; 0 pads a row.
+    """
+    m, one = len(target), np.uint64(1)
+    masks = np.zeros(codes.shape, np.uint64)
+    for c in np.unique(target):
+        bits = np.uint64(sum(1 << int(i) for i in np.flatnonzero(target == c)))
+        masks[codes == c] = bits
+    top = one << np.uint64(m - 1)
+    up, down = np.full(len(codes), ~np.uint64(0)), np.zeros(len(codes), np.uint64)
+    score, best, at = np.full(len(codes), m), np.full(len(codes), m + 1), np.full(len(codes), -1)
+    inside = codes > 0
+    for j in range(codes.shape[1]):
+        eq = masks[:, j]
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = down | ~(xh | up), up & xh
+        score = score + ((ph & top) > 0) - ((mh & top) > 0)
+        ph, mh = ph << one, mh << one
+        up, down = mh | ~(xv | ph), ph & xv
+        better = (score < best) & inside[:, j]
+        best, at = np.where(better, score, best), np.where(better, j, at)
+    return best, at
+
+
+def _begin(text: str, needle: str, end: int, edits: int) -> int:
+    """Latest start of a match of ``needle`` with ``edits`` edits that ends at ``end``."""
+    lo = max(0, end + 1 - len(needle) - edits)
+    part, back = text[lo : end + 1][::-1], needle[::-1]
+    row = list(range(len(back) + 1))
+    for j, c in enumerate(part, 1):
+        nxt = [j]
+        for i, d in enumerate(back, 1):
+            nxt.append(min(row[i - 1] + (c != d), row[i] + 1, nxt[i - 1] + 1))
+        row = nxt
+        if row[-1] <= edits:
+            return end + 1 - j
+    return lo
+
+
 def typo_scores(texts: Column, query: str) -> Column:
-    """struct(score, first, last): best local alignment of the query in each text, null above its budget of edits.
+    """struct(score, first, last): best occurrence of the query in each text, null above its budget of edits.
 
     The budget is a quarter of the query's length, one at least. The score is 1
     for an exact occurrence and falls with each edit; first and last are the
-    inclusive character positions matched. Computed by Sellers' algorithm on all
-    texts of a batch at once.
+    inclusive character positions matched. Of a longer query the first 64
+    characters count.
     """
-    needle = query.lower()
+    needle = query.lower()[:64]
     budget = max(1, len(needle) // 4)
 
     @F.pandas_udf("score double, first int, last int")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        target = np.array([ord(c) for c in needle], np.uint32)
         for batch in batches:
             n = len(batch)
             score, first, last = np.full(n, np.nan), np.full(n, -1), np.full(n, -1)
             lowered = [(t or "").lower() for t in batch]
             order = np.argsort([len(t) for t in lowered], kind="stable")
-            m = len(needle)
-            for lo in range(0, n, 256):
-                rows = order[lo : lo + 256]
+            for lo in range(0, n, 512):
+                rows = order[lo : lo + 512]
                 width = max((len(lowered[r]) for r in rows), default=0)
-                if width == 0 or m == 0:
+                if width == 0 or len(target) == 0:
                     continue
-                codes = np.zeros((len(rows), width), np.int64)
-                for i, r in enumerate(rows):
-                    t = lowered[r]
-                    codes[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-                prev, start = np.tile(np.arange(m + 1), (len(rows), 1)), np.zeros((len(rows), m + 1), np.int64)
-                best, best_at, best_from = np.full(len(rows), m + 1), np.full(len(rows), -1), np.full(len(rows), -1)
-                target = np.array([ord(c) for c in needle])
-                for j in range(width):
-                    cur, begin = np.zeros_like(prev), np.full_like(start, j + 1)
-                    differ = (codes[:, j : j + 1] != target[None, :]).astype(np.int64)
-                    for i in range(1, m + 1):
-                        sub, skip, add = prev[:, i - 1] + differ[:, i - 1], prev[:, i] + 1, cur[:, i - 1] + 1
-                        low = np.minimum(np.minimum(sub, skip), add)
-                        cur[:, i] = low
-                        begin[:, i] = np.where(low == sub, start[:, i - 1], np.where(low == skip, start[:, i], begin[:, i - 1]))
-                    begin[:, 0] = j + 1
-                    better = (cur[:, m] < best) & (codes[:, j] > 0)
-                    best = np.where(better, cur[:, m], best)
-                    best_at, best_from = np.where(better, j, best_at), np.where(better, begin[:, m], best_from)
-                    prev, start = cur, begin
-                good = best <= budget
-                score[rows[good]] = 1 - best[good] / (m + 1)
-                first[rows[good]], last[rows[good]] = best_from[good], best_at[good]
+                codes = np.array([lowered[r] for r in rows], dtype=f"U{width}").view(np.uint32).reshape(len(rows), width)
+                edits, end = _distances(codes, target)
+                for i in np.flatnonzero(edits <= budget):
+                    r = rows[i]
+                    score[r] = 1 - edits[i] / (len(target) + 1)
+                    first[r], last[r] = _begin(lowered[r], needle, int(end[i]), int(edits[i])), end[i]
             yield pd.DataFrame({"score": score, "first": pd.array(first, dtype="Int32"), "last": pd.array(last, dtype="Int32")})
 
     return of(texts)
@@ -225,7 +256,8 @@ def typo_scores(texts: Column, query: str) -> Column:
 
 def fuzzy(items: DataFrame, text: str, *, id: str = "id", content: str = "text", depth: int = DEPTH) -> DataFrame:
     """(id, score, first, last) of candidate items that hold the query up to its budget of typos, best first."""
-    pool = items.join(bigram_candidates(items, text, id=id, content=content).withColumnRenamed("id", id), id, "left_semi") if id != "id" else items.join(bigram_candidates(items, text, content=content), "id", "left_semi")
+    near = bigram_candidates(items.select(id, content), text, id=id, content=content, edits=max(1, len(text) // 4))
+    pool = spread(items.select(id, content)).join(near.withColumnRenamed("id", id), id, "left_semi")
     hit = pool.select(F.col(id).alias("id"), typo_scores(F.col(content), text).alias("x")).where("x.score is not null and not isnan(x.score)")
     return hit.select("id", "x.score", "x.first", "x.last").orderBy(F.col("score").desc(), "id").limit(depth)
 

@@ -15,6 +15,7 @@ from keepsieve.functions import texts, urls
 from keepsieve.operators.fingerprints import simhash64
 from keepsieve.operators.rules import DEFAULT_RULES, route
 from keepsieve.operators.store import Store, replace_rows, stamp
+from keepsieve.plans.runtime import spread
 
 ORDER = ("entities", "vision", "tagged", "categorized", "described")
 MOST_LINKS, MOST_TAGS, MOST_MEDIA = 24, 24, 4
@@ -30,7 +31,7 @@ def entities(items: DataFrame) -> DataFrame:
     found = F.slice(F.array_distinct(F.concat("__links", "__domains")), 1, MOST_LINKS)
     hosts = F.transform(found, lambda u: urls.host(u))
     tags = F.concat(hosts, F.array(urls.host(F.col("url"))), F.transform(texts.mentions(text), lambda m: F.concat(F.lit("@"), m)), texts.hashtags(text), texts.cashtags(text))
-    out = base.select("id", found.alias("links"), F.array_sort(F.filter(F.array_distinct(tags), lambda t: t.isNotNull() & (t != ""))).alias("tags"), texts.fingerprint_tokens(F.col("title"), F.col("body")).alias("__tokens"))
+    out = spread(base).select("id", found.alias("links"), F.array_sort(F.filter(F.array_distinct(tags), lambda t: t.isNotNull() & (t != ""))).alias("tags"), texts.fingerprint_tokens(F.col("title"), F.col("body")).alias("__tokens"))
     return out.withColumn("fingerprint", simhash64(F.col("__tokens"))).drop("__tokens")
 
 

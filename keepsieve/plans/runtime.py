@@ -64,3 +64,17 @@ def keep_table(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/keepsieve-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Inputs of at most so many estimated bytes are dealt evenly over the cores.
+SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores if it is small: a single small file has one row group, hence one task.
+
+    A larger input has splits enough, and nothing is moved. The size is the
+    optimizer's estimate, so nothing runs to find it.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df

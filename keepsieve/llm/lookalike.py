@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepsieve.plans.runtime import cut_lineage
+from keepsieve.plans.runtime import cut_lineage, spread
 
 #: Code points from here on expand to themselves.
 TABLE_END = 0x30000
@@ -253,7 +253,7 @@ def consistent_form(texts: DataFrame, columns: list[str], suffix: str = "_form")
     """
     results = [c + suffix for c in columns]
     kept = [c for c in texts.columns if c not in results]
-    base = texts.select(*[texts[c] for c in kept])
+    base = spread(texts.select(*[texts[c] for c in kept]))
     schema = T.StructType([*base.schema.fields, *[T.StructField(r, T.StringType()) for r in results]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

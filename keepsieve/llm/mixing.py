@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsieve.llm.tokens import DEFAULT, token_count
-from keepsieve.plans.runtime import keep_table
+from keepsieve.plans.runtime import keep_table, spread
 
 #: Documents in one leaf of the tree, about.
 LEAF = 20_000
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", text: str =
     give the same choice.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id).cast("bigint").alias("id"), F.col(source).alias("source"), token_count(F.col(text), tokenizer).alias("tokens")).where("tokens > 0 and source is not null and id is not null")
+    sized = spread(docs.select(id, text, source)).select(F.col(id).cast("bigint").alias("id"), F.col(source).alias("source"), token_count(F.col(text), tokenizer).alias("tokens")).where("tokens > 0 and source is not null and id is not null")
     goal = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     sized = keep_table(sized.join(goal.select("source"), "source", "left_semi").groupBy("id").agg(F.min_by("source", F.struct("tokens", "source")).alias("source"), F.min(F.struct("tokens", "source"))["tokens"].alias("tokens")))
     there = sized.groupBy("source").agg(F.sum("tokens").alias("s"), F.count("*").alias("n"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsieve.llm.tokens import DEFAULT, token_count
-from keepsieve.plans.runtime import keep_table
+from keepsieve.plans.runtime import keep_table, spread
 
 #: Documents packed together in one task, about.
 SHARD_DOCS = 20_000
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, containers: DataFrame, *, id: str = "doc_id", text: st
     take no room and have no row; repeated rows are packed once each; without
     capacities nothing can be placed and the result is empty.
     """
-    sized = docs.select(F.col(id).cast("bigint").alias("id"), token_count(F.col(text), tokenizer).alias("tokens"))
+    sized = spread(docs.select(id, text)).select(F.col(id).cast("bigint").alias("id"), token_count(F.col(text), tokenizer).alias("tokens"))
     sized = keep_table(sized.where("tokens > 0"))
     given = containers.where("capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").alias("c")).orderBy("c", "container").limit(1000).collect()
     names, capacities = [r["container"] for r in given], [int(r["c"]) for r in given]

@@ -23,7 +23,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsieve.plans.runtime import keep_table
+from keepsieve.plans.runtime import keep_table, spread
 
 #: Labelled documents used at most to fit the rules, chosen by the hash of their id.
 SAMPLE_DOCS = 20_000
@@ -76,7 +76,7 @@ def sentence_table(docs: DataFrame, id: str, text: str, extra: list[str] | None
             rows = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *(c.take(rows) for c in batch.columns[2:]), pa.array([s for g in got for s in g], pa.list_(pa.string()))], names=["id", *extra, "items"])
 
-    return given.mapInArrow(run, schema)
+    return spread(given).mapInArrow(run, schema)
 
 
 class Rules:
@@ -94,14 +94,15 @@ class Rules:
     def evidence(self, items: list[str]) -> np.ndarray:
         """Per subject the highest confidence of the matching rules that no longer matching rule contains."""
         known = [w for w in items if w in self.words]
+        # sets of two and three grow only from words that stand in a rule together
+        pairs = [(a, b) for i, a in enumerate(known) for b in known[i + 1 :] if b in self.partners[a]]
+        triples = [(a, b, c) for a, b in pairs for c in known[known.index(b) + 1 :] if c in self.partners[a] and c in self.partners[b]] if LONGEST > 2 else []
         hits = []
-        for size in range(min(LONGEST, len(known)), 0, -1):
-            pool = known if size == 1 else [w for w in known if len(self.partners[w]) > 1]
-            for c in combinations(pool, size):
-                if (v := self.table.get(frozenset(c))) is not None:
-                    s = set(c)
-                    if not any(s < h for h, _ in hits):
-                        hits.append((s, v))
+        for group in (triples, pairs, [(w,) for w in known]):
+            for c in group:
+                s = frozenset(c)
+                if (v := self.table.get(s)) is not None and not any(s < h for h, _ in hits):
+                    hits.append((s, v))
         return np.max([v for _, v in hits], axis=0) if hits else np.zeros(len(self.subjects))
 
     def calibrated(self, top: np.ndarray) -> np.ndarray:
@@ -214,7 +215,7 @@ def subject_shares(docs: DataFrame, rules: Rules, *, id: str = "doc_id", text: s
             yield pd.DataFrame(rows, columns=["id", "subject", "share", "n_sentences"])
 
     given = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return given.mapInPandas(run, "id bigint, subject string, share double, n_sentences int")
+    return spread(given).mapInPandas(run, "id bigint, subject string, share double, n_sentences int")
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:

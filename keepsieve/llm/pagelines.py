@@ -243,7 +243,7 @@ def describe_pages(urls: list[str | None], bodies: list[str]) -> list[tuple[str,
                     _SEEN[raw] = folded, mask, kind, words
             else:
                 _, mask, kind, words = got
-            if topic and kind in (OTHER, DOUBTFUL, PARAGRAPH, ITEM) and topic in mask:
+            if len(topic) >= 4 and kind in (OTHER, DOUBTFUL, PARAGRAPH, ITEM) and topic in mask:
                 kind += OWN_TOPIC
             keys_text.append(mask)
             classes.append(kind)

@@ -73,8 +73,9 @@ SMALL = 16 << 20
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over the cores if it is small: a single small file has one row group, hence one task.
 
-    A larger input has splits enough, and nothing is moved. The size is the
-    optimizer's estimate, so nothing runs to find it.
+    A larger input has splits enough, and nothing is moved. The size is that of
+    the whole files scanned, as the plan knows it, so nothing runs to find it.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df

@@ -29,6 +29,8 @@ from keepsieve.plans.runtime import keep_table, spread
 SAMPLE_DOCS = 20_000
 #: Sentences of one labelled document that take part in mining at most, so a long transcript isn't a class of its own.
 SAMPLE_SENTENCES = 12
+#: Held-out sentences that calibrate the evidence at most.
+HELD_SENTENCES = 50_000
 #: A set counts as frequent in this share of the sample's sentences, and in so many at least.
 LEAST_SHARE, LEAST_COUNT = 0.0004, 4
 #: Words in a rule at most; words in more than this share of sentences are left out.
@@ -171,7 +173,7 @@ def mine_rules(docs: DataFrame, labels: DataFrame, subjects: list[str], *, id: s
         if not parts or min(np.abs(v - p).max() for p in parts) >= GAIN and v.max() >= max(p.max() for p in parts) + GAIN or (parts and v.max() <= max(p.max() for p in parts) - GAIN):
             rules[s] = v
     out = Rules(subjects, rules, share)
-    held = table.where("held").select("classes", "items").limit(50_000).toPandas()
+    held = table.where("held").select("classes", "items").orderBy(F.xxhash64("items"), "items").limit(HELD_SENTENCES).toPandas()
     tops, right = [], []
     for classes, items in zip(held["classes"], held["items"], strict=True):
         e = out.evidence(items)

@@ -86,26 +86,34 @@ class Rules:
 
     def __init__(self, subjects: list[str], table: dict[frozenset, np.ndarray], prior: np.ndarray):
         self.subjects, self.table, self.prior = subjects, table, prior
-        self.words = frozenset(w for s in table for w in s)
-        self.partners = {}
-        for s in table:
-            for w in s:
-                self.partners.setdefault(w, set()).update(s)
+        # by sorted words: a sentence of n known words costs n * n / 2 look-ups
+        self.ones = {next(iter(k)): v for k, v in table.items() if len(k) == 1}
+        self.twos = {tuple(sorted(k)): v for k, v in table.items() if len(k) == 2}
+        self.threes: dict[tuple, dict[str, np.ndarray]] = {}
+        for k, v in table.items():
+            if len(k) == 3:
+                x, y, z = sorted(k)
+                self.threes.setdefault((x, y), {})[z] = v
+        self.words = frozenset(w for k in table for w in k)
         self.steps = (np.array([0.0]), np.array([0.0]))
 
     def evidence(self, items: list[str]) -> np.ndarray:
         """Per subject the highest confidence of the matching rules that no longer matching rule contains."""
-        known = [w for w in items if w in self.words]
-        # sets of two and three grow only from words that stand in a rule together
-        pairs = [(a, b) for i, a in enumerate(known) for b in known[i + 1 :] if b in self.partners[a]]
-        triples = [(a, b, c) for a, b in pairs for c in known[known.index(b) + 1 :] if c in self.partners[a] and c in self.partners[b]] if LONGEST > 2 else []
-        hits = []
-        for group in (triples, pairs, [(w,) for w in known]):
-            for c in group:
-                s = frozenset(c)
-                if (v := self.table.get(s)) is not None and not any(s < h for h, _ in hits):
-                    hits.append((s, v))
-        return np.max([v for _, v in hits], axis=0) if hits else np.zeros(len(self.subjects))
+        known = sorted(self.words.intersection(items))
+        hits, inner = [], set()  # inner: sets inside a matching longer rule
+        pairs = [(a, b) for i, a in enumerate(known) for b in known[i + 1 :]]
+        for pair in pairs:
+            if (third := self.threes.get(pair)) is not None:
+                for c in third.keys() & known:
+                    hits.append(third[c])
+                    a, b = pair
+                    inner.update((pair, (a, c), (b, c), a, b, c))
+        for pair in pairs:
+            if (v := self.twos.get(pair)) is not None and pair not in inner:
+                hits.append(v)
+                inner.update(pair)
+        hits += [v for w in known if w not in inner and (v := self.ones.get(w)) is not None]
+        return np.max(hits, axis=0) if hits else np.zeros(len(self.subjects))
 
     def calibrated(self, top: np.ndarray) -> np.ndarray:
         """Observed share of right sentences at evidence ``top``."""

@@ -115,3 +115,15 @@ def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     """The first row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def primary_link(links: Column) -> Column:
+    """The link an item is about: of links of known kind or with a body the last best by body, title and prose; else the first."""
+    usable = F.filter(links, lambda x: (x["kind"] != "unknown") | (F.coalesce(F.trim(x["body"]), F.lit("")) != ""))
+    rated = F.transform(
+        usable,
+        lambda x, i: F.struct(
+            (F.coalesce(F.trim(x["body"]), F.lit("")) != "").alias("body"), (F.coalesce(F.trim(x["title"]), F.lit("")) != "").alias("title"), x["kind"].isin("article", "long-form", "paper", "release").alias("prose"), i.alias("at"), x.alias("link")
+        ),
+    )
+    return F.coalesce(F.array_max(F.transform(rated, lambda r: F.struct(r["body"], r["title"], r["prose"], r["at"], r["link"]["resolved"].alias("resolved"))))["resolved"], F.get(links, 0)["resolved"])

@@ -4,10 +4,11 @@ The tokens of a page are its masked lines (site name, numbers, dates and
 addresses replaced by marks), since a line is what is kept or removed. The
 streams of the pages of a host, or of a pool of small hosts, are concatenated
 in blocks; a suffix array with common-prefix lengths gives the runs repeated
-across distinct pages. What the blocks find is added up over the corpus: a
-repeated line is furniture if it stands on many distinct pages of different
-sections and rarely amid text, where article headings and bylines stand. Runs that
-stay unique are the main body.
+across distinct pages. What the blocks find is added up per host: a repeated
+line is furniture of its host if it stands on many distinct pages there, of
+different sections where the host has them, and rarely amid text, where article
+headings and bylines stand. A line of many hosts is furniture on hosts of few
+pages too. Runs that stay unique are the main body.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsieve.llm.pagelines import BLANK, BYLINE, CODE, DOUBTFUL, ITEM, OTHER, OWN_TOPIC, PARAGRAPH, describe_pages, judge_page
@@ -25,8 +26,10 @@ from keepsieve.plans.runtime import keep_table, spread
 
 #: Pages in one suffix array, and hosts below this number of pages share pools.
 BLOCK_PAGES, POOL_BELOW = 4096, 16
-#: A furniture line stands on at least so many pages and hosts' blocks, at most such a share of them in one section or amid text.
+#: A furniture line stands on at least so many pages of its host (fewer on a host of few), at most such a share of them in one section or amid text.
 LEAST_PAGES, MOST_IN_SECTION, MOST_AMID = 8, 0.5, 0.4
+#: A line of so many hosts is furniture on all, but on those where at least so many pages, most of them amid text, speak against it.
+MANY_HOSTS, LEAST_AGAINST = 8, 3
 #: Depth to which suffixes are ordered, in lines.
 DEPTH = 16
 
@@ -108,20 +111,24 @@ def page_streams(links: DataFrame, *, url: str, body: str, keys: list[str]) -> D
 
 
 def repeated_lines(streams: DataFrame) -> DataFrame:
-    """(line, section, pages, amid, longest): lines in runs repeated across distinct pages, added up over all blocks.
+    """(host, line, section, most, pages, amid, longest): pages of each host with a line, exact whatever the blocks.
 
-    Each host's pages are dealt to blocks of about BLOCK_PAGES; small hosts
-    share pools dealt the same way, so no block holds a hot host whole. Copies
-    of one article (pages with the same longest line) count once per block.
+    Hosts and sections are hashes; section is the one with the most of these pages. Rows without line hold the
+    pages of each section of a host. Each host's pages are dealt to blocks of
+    about BLOCK_PAGES; a small host stays whole in the pool it shares, and no
+    block holds a hot host whole. Copies of one article (``copy``) count once.
     """
-    sizes = streams.groupBy("host").agg(F.count("*").alias("n"))
-    pooled = sizes.select("host", F.when(F.col("n") < POOL_BELOW, "").otherwise(F.col("host")).alias("pool"), "n")
+    # a page without address is its own host
+    site = F.when(F.col("host") == "", F.col("copy")).otherwise(F.xxhash64("host"))
+    given = streams.select(site.alias("host"), F.xxhash64("section").alias("section"), "copy", "lines", "kinds", "sizes")
+    sizes = given.groupBy("host").agg(F.count("*").alias("n"))
+    pooled = sizes.select("host", F.when(F.col("n") < POOL_BELOW, 0).otherwise(F.col("host")).alias("pool"), "n")
     totals = pooled.groupBy("pool").agg(F.sum("n").alias("total"))
-    dealt = streams.select("host", "section", "copy", "lines", "kinds", "sizes").join(pooled.join(totals, "pool").select("host", "pool", "total"), "host")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("copy", "lines"), F.ceil(F.col("total") / BLOCK_PAGES)))
+    one = given.groupBy("host", "copy").agg(F.min_by(F.struct("section", "lines", "kinds", "sizes"), F.struct(F.xxhash64("lines"), "section")).alias("x")).select("host", "copy", "x.*")
+    dealt = one.join(pooled.join(totals, "pool").select("host", "pool", "total"), "host")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("copy"), F.ceil(F.col("total") / BLOCK_PAGES)))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("copy")
         flat, owner, kinds, sizes = [], [], [], []
         for i, (lines, kind, size) in enumerate(zip(pdf["lines"], pdf["kinds"], pdf["sizes"], strict=True)):
             shown = (kind & ~OWN_TOPIC) != BLANK
@@ -132,43 +139,92 @@ def repeated_lines(streams: DataFrame) -> DataFrame:
         tokens, pages, kinds, sizes = np.concatenate(flat), np.concatenate(owner), np.concatenate(kinds), np.concatenate(sizes)
         names, codes = np.unique(tokens, return_inverse=True)
         length = repeated_runs(codes, pages)
-        # a position is covered by the runs that begin at or before it
-        reach = np.maximum.accumulate(np.arange(len(codes)) + length)
-        covered = reach > np.arange(len(codes))
         prose = np.isin(kinds, (PARAGRAPH, ITEM, CODE, BYLINE)) | (np.isin(kinds, (OTHER, DOUBTFUL)) & (sizes >= 6))
         amid = np.zeros(len(codes), bool)
         amid[1:-1] = (pages[2:] == pages[:-2]) & prose[2:] & prose[:-2]
-        section = pd.factorize(pdf["section"])
-        seen = pd.DataFrame({"line": names[codes], "page": pages, "section": section[0][pages], "amid": amid, "longest": length})[covered]
-        per_page = seen.groupby(["line", "section", "page"], sort=False).agg(amid=("amid", "any"), longest=("longest", "max")).reset_index()
-        out = per_page.groupby(["line", "section"], sort=False).agg(pages=("page", "size"), amid=("amid", "sum"), longest=("longest", "max")).reset_index()
-        out["section"] = np.asarray(section[1], dtype=object)[out["section"]]
-        return out[["line", "section", "pages", "amid", "longest"]]
-
-    found = dealt.groupBy("pool", "block").applyInPandas(find, "line bigint, section string, pages bigint, amid bigint, longest bigint")
-    return found.groupBy("line", "section").agg(F.sum("pages").alias("pages"), F.sum("amid").alias("amid"), F.max("longest").alias("longest"))
-
-
-def furniture_lines(streams: DataFrame) -> DataFrame:
-    """(line) of the hashes that the corpus shows to be furniture."""
-    by_line = repeated_lines(streams).groupBy("line").agg(F.sum("pages").alias("pages"), F.sum("amid").alias("amid"), F.max("pages").alias("most"))
-    return by_line.where((F.col("pages") >= LEAST_PAGES) & (F.col("most") <= MOST_IN_SECTION * F.col("pages")) & (F.col("amid") <= MOST_AMID * F.col("pages"))).select("line")
-
-
-def marked_pages(streams: DataFrame, keys: list[str], furniture: DataFrame | None, messages: DataFrame | None) -> DataFrame:
+        places = pdf.groupby(["host", "section"], sort=False)
+        place, n_places = places.ngroup().to_numpy(), places.ngroups
+        first = np.unique(place, return_index=True)[1]
+        # once per line and page, then added up per line and place
+        key = codes.astype(np.int64) * len(pdf) + pages
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        amid, length = np.logical_or.reduceat(amid[order], starts), np.maximum.reduceat(length[order], starts)
+        line, page = np.divmod(key[order][starts], len(pdf))
+        key = line * n_places + place[page]
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        line, at = np.divmod(key[order][starts], n_places)
+        columns = {
+            "line": np.concatenate([names[line], np.zeros(n_places, np.int64)]),
+            "whole": np.concatenate([np.zeros(len(line), bool), np.ones(n_places, bool)]),
+            "pages": np.concatenate([np.diff(np.append(starts, len(key))), np.bincount(place, minlength=n_places)]),
+            "amid": np.concatenate([np.add.reduceat(amid[order].astype(np.int64), starts), np.zeros(n_places, np.int64)]),
+            "longest": np.concatenate([np.maximum.reduceat(length[order], starts), np.zeros(n_places, np.int64)]),
+        }
+        at = first[np.concatenate([at, np.arange(n_places)])]
+        return pd.DataFrame({"host": pdf["host"].to_numpy()[at], "section": pdf["section"].to_numpy()[at], **columns})
+
+    found = dealt.groupBy("pool", "block").applyInPandas(find, "host bigint, section bigint, line bigint, whole boolean, pages bigint, amid bigint, longest bigint")
+    found = found.withColumn("line", F.when(~F.col("whole"), F.col("line")))
+    # blocks have combined their rows, so these move once, for both groupings
+    by_section = found.repartition("host", "line").groupBy("host", "line", "section").agg(F.sum("pages").alias("pages"), F.sum("amid").alias("amid"), F.max("longest").alias("longest"))
+    # where two sections tie, neither has too many
+    by_line = by_section.groupBy("host", "line", F.when(F.col("line").isNull(), F.col("section")).alias("__s"))
+    by_line = by_line.agg(F.max_by("section", "pages").alias("section"), F.max("pages").alias("most"), F.sum("pages").alias("pages"), F.sum("amid").alias("amid"), F.max("longest").alias("longest"))
+    return by_line.drop("__s")
+
+
+def _spread_out(pages: str, most: str, share: str) -> Column:
+    """Whether no section holds too many of the pages."""
+    return F.col(most) <= MOST_IN_SECTION * F.col(pages)
+
+
+def furniture_lines(streams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((host, line, own), (line)): what each host's own pages say of a line, and furniture of many hosts.
+
+    own is 1 for furniture of that host, -1 where its pages speak against what
+    many hosts say. A host's lines count for other hosts only as one host of many.
+    """
+    counts = keep_table(repeated_lines(streams))
+    whole = counts.where("line is null")
+    hosts = whole.groupBy("host").agg(F.sum("pages").alias("n"), F.max_by("section", F.struct("pages", "section")).alias("section"))
+    shares = whole.select("host", "section", F.col("pages").alias("n_section")).join(hosts.select("host", "n"), "host").select("host", "section", "n", (F.col("n_section") / F.col("n")).alias("share"))
+    lines = counts.where("line is not null")
+    calm = F.col("amid") <= MOST_AMID * F.col("pages")
+    enough = F.col("pages") >= LEAST_PAGES
+    own = lines.where((F.col("pages") >= 2) & calm).join(shares, ["host", "section"]).where(enough & _spread_out("pages", "most", "share")).select("host", "line")
+    # every host counts once, in the section where it has most of its pages
+    baseline = hosts.groupBy("section").agg(F.count("*").alias("n")).join(F.broadcast(hosts.agg(F.count("*").alias("all")))).select("section", (F.col("n") / F.col("all")).alias("share"))
+    by_section = lines.groupBy("line", "section").agg(F.count("*").alias("pages"), F.sum(F.col("amid") / F.col("pages")).alias("amid"))
+    by_line = by_section.groupBy("line").agg(F.sum("pages").alias("pages"), F.sum("amid").alias("amid"), F.max("pages").alias("most"), F.max_by("section", "pages").alias("section"))
+    many = by_line.where((F.col("pages") >= MANY_HOSTS) & calm).join(baseline, "section", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    many = keep_table(many.where(_spread_out("pages", "most", "share")).select("line"))
+    against = lines.where((F.col("pages") >= LEAST_AGAINST) & ~calm).select("host", "line").join(many, "line", "left_semi")
+    own = own.join(many, "line", "left_anti").select("host", "line", F.lit(1).alias("own")).unionByName(against.select("host", "line", F.lit(-1).alias("own")))
+    return keep_table(own), many
+
+
+def marked_pages(streams: DataFrame, keys: list[str], furniture: tuple[DataFrame, DataFrame] | None, messages: DataFrame | None) -> DataFrame:
     """(keys, outside, blocked): numbers of the lines outside the main body, and whether residue replaces the content.
 
     The marks meet the lines in a join whose strategy follows the size of the
     mark tables: they are tables in the shared folder, so their size is known.
     """
-    flat = streams.select(*keys, F.xxhash64("lines").alias("__page"), F.posexplode(F.arrays_zip("lines", "kinds", "sizes")).alias("at", "x"))
-    flat = flat.select(*keys, "__page", "at", F.col("x.lines").alias("line"), F.col("x.kinds").alias("kind"), F.col("x.sizes").alias("size"))
-    for name, marks in (("furniture", furniture), ("message", messages)):
+    flat = streams.select(*keys, "host", F.xxhash64("lines").alias("__page"), F.posexplode(F.arrays_zip("lines", "kinds", "sizes")).alias("at", "x"))
+    flat = flat.select(*keys, "__page", "at", F.xxhash64("host").alias("__host"), F.col("x.lines").alias("__line"), F.col("x.kinds").alias("kind"), F.col("x.sizes").alias("size"))
+    own, many = furniture or (None, None)
+    for name, marks in (("everywhere", many), ("message", messages)):
         if marks is None:
             flat = flat.withColumn(name, F.lit(0))
         else:
-            flat = flat.join(marks.select("line", F.lit(1).alias(name)), "line", "left")
-    packed = F.struct("at", "kind", "size", (F.coalesce("furniture", F.lit(0)) + 2 * F.coalesce("message", F.lit(0))).cast("tinyint").alias("mark"))
+            flat = flat.join(marks.select(F.col("line").alias("__line"), F.lit(1).alias(name)), "__line", "left")
+    if own is None:
+        flat = flat.withColumn("own", F.lit(0))
+    else:
+        flat = flat.join(own.select(F.col("host").alias("__host"), F.col("line").alias("__line"), "own"), ["__host", "__line"], "left")
+    flat = flat.withColumn("furniture", (F.coalesce("own", F.lit(0)) + F.coalesce("everywhere", F.lit(0)) > 0).cast("int"))
+    packed = F.struct("at", "kind", "size", (F.col("furniture") + 2 * F.coalesce("message", F.lit(0))).cast("tinyint").alias("mark"))
     grouped = flat.groupBy(*keys, "__page").agg(F.sort_array(F.collect_list(packed)).alias("x"))
     plain = grouped.select(*keys, F.col("x.kind").alias("kind"), F.col("x.size").alias("size"), F.col("x.mark").alias("mark"))
     types = dict(plain.dtypes)
@@ -201,8 +257,7 @@ def outside_lines(links: DataFrame, *, url: str = "resolved", body: str = "body"
 
     keys = keys or ["bookmark", "ordinal"]
     streams = page_streams(links, url=url, body=body, keys=keys)
-    marks = keep_table(furniture_lines(streams))
-    marked = marked_pages(streams, keys, marks, keep_table(recurring_messages(streams)))
+    marked = marked_pages(streams, keys, furniture_lines(streams), keep_table(recurring_messages(streams)))
     return marked.select(*keys, F.explode("outside").alias("line_no")).distinct()
 
 

@@ -42,5 +42,5 @@ def blocked_pages(links: DataFrame, *, url: str = "resolved", body: str = "body"
 
     keys = keys or ["bookmark", "ordinal"]
     streams = page_streams(links, url=url, body=body, keys=keys)
-    marked = marked_pages(streams, keys, keep_table(furniture_lines(streams)), keep_table(recurring_messages(streams)))
+    marked = marked_pages(streams, keys, furniture_lines(streams), keep_table(recurring_messages(streams)))
     return marked.groupBy(*keys).agg(F.max("blocked").alias("blocked"))

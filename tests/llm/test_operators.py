@@ -177,6 +177,27 @@ def test_outside_lines(spark):
     assert boilerplate.outside_lines(df.limit(0)).count() == 0
 
 
+def furniture_of(spark, pages):
+    """{(host, text)} of the lines marked on pages (host, path, lines), and what one of them shows as main body."""
+    rows = [(i, 0, f"https://{host}/{path}", "\n".join(lines)) for i, (host, path, lines) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "bookmark long, ordinal int, resolved string, body string")
+    return {(pages[r["bookmark"]][0], pages[r["bookmark"]][2][r["line_no"] - 1]) for r in boilerplate.outside_lines(df).collect()}
+
+
+def own_page(rng, host, path, before=(), amid=(), after=()):
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    return host, path, [*before, f"{words(5)}", f"{words(15)}. {words(12)}.", *amid, f"{words(14)}. {words(10)}.", *after]
+
+
+def test_furniture_of_one_host_is_text_of_another(spark):
+    rng, line = random.Random(3), "Punti principali"
+    pages = [own_page(rng, "hot.example", f"s{i % 5}/p{i}", before=[line]) for i in range(60)] + [own_page(rng, f"other{h}.example", f"s{i % 5}/p{i}", amid=[line] if i == 3 else []) for h in range(3) for i in range(10)]
+    assert furniture_of(spark, pages) == {("hot.example", line)}
+    # and text of many hosts doesn't hide furniture of one
+    pages = [own_page(rng, "small.example", f"s{i % 5}/p{i}", before=[line]) for i in range(20)] + [own_page(rng, f"text{h}.example", f"s{h % 5}/p{i}", amid=[line]) for h in range(30) for i in range(3)]
+    assert furniture_of(spark, pages) == {("small.example", line)}
+
+
 def test_line_classes():
     def kind(line, url="https://nicesite.example/arts/topicname"):
         return int(pagelines.describe_pages([url], [line])[0][3][0])

@@ -28,6 +28,8 @@ from keepsieve.plans.runtime import keep_table, spread
 BLOCK_PAGES, POOL_BELOW = 4096, 16
 #: A furniture line stands on at least so many pages of its host (fewer on a host of few), at most such a share of them in one section or amid text.
 LEAST_PAGES, MOST_IN_SECTION, MOST_AMID = 8, 0.5, 0.4
+#: Pages expected in other sections from which on their lack tells.
+LEAST_EXPECTED = 2
 #: A line of so many hosts is furniture on all, but on those where at least so many pages, most of them amid text, speak against it.
 MANY_HOSTS, LEAST_AGAINST = 8, 3
 #: Depth to which suffixes are ordered, in lines.
@@ -176,8 +178,9 @@ def repeated_lines(streams: DataFrame) -> DataFrame:
 
 
 def _spread_out(pages: str, most: str, share: str) -> Column:
-    """Whether no section holds too many of the pages."""
-    return F.col(most) <= MOST_IN_SECTION * F.col(pages)
+    """Whether pages outside the section of ``most`` of them are as many as that section's ``share`` of its whole lets expect, or too few are expected to tell."""
+    expected = F.col(pages) * (1 - F.col(share))
+    return (expected < LEAST_EXPECTED) | (F.col(pages) - F.col(most) >= (1 - MOST_IN_SECTION) * expected)
 
 
 def furniture_lines(streams: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -189,6 +189,13 @@ def own_page(rng, host, path, before=(), amid=(), after=()):
     return host, path, [*before, f"{words(5)}", f"{words(15)}. {words(12)}.", *amid, f"{words(14)}. {words(10)}.", *after]
 
 
+def test_furniture_of_hosts_with_one_section(spark):
+    rng, odd = random.Random(1), "Cucinato con affetto a Torino"
+    pages = [own_page(rng, "one.example", f"blog/p{i}", after=[odd]) for i in range(20)] + [own_page(rng, "flat.example", f"p{i}", before=[odd + " e dintorni"]) for i in range(20)]
+    pages += [own_page(rng, "many.example", f"s{i % 5}/p{i}", before=["Cronaca sportiva del giorno"] if i % 5 == 0 else []) for i in range(60)]
+    assert furniture_of(spark, pages) == {("one.example", odd), ("flat.example", odd + " e dintorni")}
+
+
 def test_furniture_of_one_host_is_text_of_another(spark):
     rng, line = random.Random(3), "Punti principali"
     pages = [own_page(rng, "hot.example", f"s{i % 5}/p{i}", before=[line]) for i in range(60)] + [own_page(rng, f"other{h}.example", f"s{i % 5}/p{i}", amid=[line] if i == 3 else []) for h in range(3) for i in range(10)]

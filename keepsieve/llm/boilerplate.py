@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsieve.llm.pagelines import BLANK, BYLINE, CODE, DOUBTFUL, ITEM, OTHER, OWN_TOPIC, PARAGRAPH, describe_pages, judge_page
+from keepsieve.llm.pagelines import BLANK, BYLINE, CODE, DOUBTFUL, FURNITURE, ITEM, OTHER, OWN_TOPIC, PARAGRAPH, RESIDUE, TEASER_HEAD, describe_pages, judge_page
 from keepsieve.plans.runtime import keep_table, spread
 
 #: Pages in one suffix array, and hosts below this number of pages share pools.
@@ -81,8 +81,16 @@ def repeated_runs(tokens: np.ndarray, pages: np.ndarray) -> np.ndarray:
     return best
 
 
+def _copy_key(lines: np.ndarray, kinds: np.ndarray, sizes: np.ndarray) -> int:
+    """Stands for the three longest lines that no rule takes for furniture or residue; for all lines where there is none."""
+    own = np.flatnonzero(~np.isin(kinds & ~OWN_TOPIC, (BLANK, FURNITURE, TEASER_HEAD, RESIDUE)))
+    if len(own) == 0:
+        return hash(tuple(lines.tolist()))
+    return hash(tuple(lines[own[np.lexsort((lines[own], -sizes[own].astype(int)))[:3]]].tolist()))
+
+
 def page_streams(links: DataFrame, *, url: str, body: str, keys: list[str]) -> DataFrame:
-    """One row per distinct page: keys, host, section, copy (stands for its longest line), and line arrays.
+    """One row per distinct page: keys, host, section, copy (stands for its longest own lines), and line arrays.
 
     Pages without body or with blanks only have no row; whole repeated rows give
     one. lines holds the hashes of the masked lines, kinds their classes, sizes
@@ -99,7 +107,7 @@ def page_streams(links: DataFrame, *, url: str, body: str, keys: list[str]) -> D
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 got = describe_pages(part.column(len(keys)).to_pylist(), part.column(len(keys) + 1).to_pylist())
-                longest = [int(h[np.argmax(s)]) for _, _, h, _, s in got]
+                longest = [_copy_key(h, k, s) for _, _, h, k, s in got]
                 ends = np.concatenate(([0], np.cumsum([len(h) for _, _, h, _, _ in got]))).astype(np.int32)
 
                 def ragged(column: int, got=got, ends=ends) -> pa.Array:
@@ -128,7 +136,7 @@ def repeated_lines(streams: DataFrame) -> DataFrame:
     totals = pooled.groupBy("pool").agg(F.sum("n").alias("total"))
     one = given.groupBy("host", "copy").agg(F.min_by(F.struct("section", "lines", "kinds", "sizes"), F.struct(F.xxhash64("lines"), "section")).alias("x")).select("host", "copy", "x.*")
     dealt = one.join(pooled.join(totals, "pool").select("host", "pool", "total"), "host")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("copy"), F.ceil(F.col("total") / BLOCK_PAGES)))
+    dealt = dealt.withColumn("block", F.pmod(F.when(F.col("pool") == 0, F.xxhash64("host")).otherwise(F.xxhash64("copy")), F.ceil(F.col("total") / BLOCK_PAGES)))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         flat, owner, kinds, sizes = [], [], [], []
@@ -195,8 +203,10 @@ def furniture_lines(streams: DataFrame) -> tuple[DataFrame, DataFrame]:
     shares = whole.select("host", "section", F.col("pages").alias("n_section")).join(hosts.select("host", "n"), "host").select("host", "section", "n", (F.col("n_section") / F.col("n")).alias("share"))
     lines = counts.where("line is not null")
     calm = F.col("amid") <= MOST_AMID * F.col("pages")
-    enough = F.col("pages") >= LEAST_PAGES
-    own = lines.where((F.col("pages") >= 2) & calm).join(shares, ["host", "section"]).where(enough & _spread_out("pages", "most", "share")).select("host", "line")
+    # of few pages half are enough, for a line that is repeated alone all
+    enough = F.col("pages") >= F.least(F.lit(LEAST_PAGES), F.greatest(F.lit(2), F.ceil(F.col("n") / 2)))
+    together = (F.col("n") >= LEAST_PAGES) | (F.col("pages") == F.col("n")) | (F.col("longest") >= 2)
+    own = lines.where((F.col("pages") >= 2) & calm).join(shares, ["host", "section"]).where(enough & together & _spread_out("pages", "most", "share")).select("host", "line")
     # every host counts once, in the section where it has most of its pages
     baseline = hosts.groupBy("section").agg(F.count("*").alias("n")).join(F.broadcast(hosts.agg(F.count("*").alias("all")))).select("section", (F.col("n") / F.col("all")).alias("share"))
     by_section = lines.groupBy("line", "section").agg(F.count("*").alias("pages"), F.sum(F.col("amid") / F.col("pages")).alias("amid"))

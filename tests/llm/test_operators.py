@@ -196,6 +196,15 @@ def test_furniture_of_hosts_with_one_section(spark):
     assert furniture_of(spark, pages) == {("one.example", odd), ("flat.example", odd + " e dintorni")}
 
 
+def test_furniture_counts_do_not_depend_on_blocks(spark, monkeypatch):
+    monkeypatch.setattr(boilerplate, "BLOCK_PAGES", 4)
+    rng, notice = random.Random(2), "Questo avviso lungo " + " ".join("parola" + "abcdefghi"[i % 9] * (i // 9 + 1) for i in range(45)) + ". Fine."
+    pages = [own_page(rng, f"small{h}.example", f"blog/p{i}", before=[f"Benvenuti da noi alla casa {'abcdefgh'[h]}"], after=[notice]) for h in range(8) for i in range(2 + h)]
+    pages += [own_page(rng, "hot.example", f"blog/p{i}", after=["Una riga rara del sito"] if i % 5 == 0 else []) for i in range(60)]
+    want = {(f"small{h}.example", x) for h in range(8) for x in (f"Benvenuti da noi alla casa {'abcdefgh'[h]}", notice)} | {("hot.example", "Una riga rara del sito")}
+    assert furniture_of(spark, pages) == want
+
+
 def test_furniture_of_one_host_is_text_of_another(spark):
     rng, line = random.Random(3), "Punti principali"
     pages = [own_page(rng, "hot.example", f"s{i % 5}/p{i}", before=[line]) for i in range(60)] + [own_page(rng, f"other{h}.example", f"s{i % 5}/p{i}", amid=[line] if i == 3 else []) for h in range(3) for i in range(10)]

@@ -47,16 +47,29 @@ class PairTable:
     """Persistent counts of items, pairs and baskets under one folder, changed basket by basket.
 
     Every state is a new version of the tables; a batch that fails leaves the
-    last version as it was. Counts that fall to zero are dropped.
+    last version as it was, and a table opened on a folder goes on from the last
+    whole version there. Counts that fall to zero are dropped.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
         self.path = path or f"{shared_dir(spark).rstrip('/')}/pairs-{uuid.uuid4().hex}"
-        self.version = 0
-        self.baskets = spark.createDataFrame([], "basket bigint, item string")
-        self.pairs = spark.createDataFrame([], "item_a string, item_b string, n_ab bigint, bucket int")
-        self.marginals = spark.createDataFrame([], "item string, n bigint")
+        schemas = {"baskets": "basket bigint, item string", "pairs": "item_a string, item_b string, n_ab bigint, bucket int", "marginals": "item string, n bigint"}
+        # a version without all its tables is of a batch that failed; its number isn't used again
+        self.version, whole = self._versions(list(schemas))
+        frames = {k: spark.read.schema(v).parquet(f"{self.path}/v{whole}/{k}") if whole else spark.createDataFrame([], v) for k, v in schemas.items()}
+        self.baskets, self.pairs, self.marginals = frames["baskets"], frames["pairs"], frames["marginals"]
+
+    def _versions(self, tables: list[str]) -> tuple[int, int]:
+        """(highest number, highest number of a whole version) under the path; 0 for none."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return 0, 0
+        names = [x.getPath().getName() for x in fs.listStatus(at)]
+        found = sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+        whole = [v for v in found if all(fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}/{t}/_SUCCESS")) for t in tables)]
+        return max(found, default=0), max(whole, default=0)
 
     def _write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         path = f"{self.path}/v{self.version}/{name}"
@@ -65,7 +78,11 @@ class PairTable:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def apply(self, changed: DataFrame) -> DataFrame:
-        """Replaces the content of baskets: ``changed`` (basket, item), item null for a basket now empty. Returns the items affected."""
+        """Replaces the content of baskets: ``changed`` (basket, item), item null for a basket now empty.
+
+        Returns the items affected: those of changed counts or pairs, or all if
+        the number of baskets changed, which the scores of all pairs depend on.
+        """
         ids = changed.select("basket").distinct()
         old = self.baskets.join(ids, "basket", "left_semi").withColumn("sign", F.lit(-1))
         new = changed.where("item is not null").distinct().withColumn("sign", F.lit(1))
@@ -76,7 +93,7 @@ class PairTable:
         if not first:
             deltas = keep_table(deltas)
         marginal = signed.groupBy("item").agg(F.sum("sign").alias("delta"))
-        affected = keep_table(marginal.where("delta <> 0").select("item"))
+        more = not first and new.select("basket").distinct().count() != old.select("basket").distinct().count()
         self.version += 1
         if first:
             merged = deltas.select("item_a", "item_b", F.col("delta").alias("n_ab"), "bucket")
@@ -91,6 +108,11 @@ class PairTable:
         held = self.baskets.join(ids, "basket", "left_anti").unionByName(new.select("basket", "item"))
         pairs = self._write(merged.repartition("bucket"), "pairs", "bucket")
         marginals, baskets = self._write(singles, "marginals"), self._write(held, "baskets")
+        if first:
+            affected = marginals.select("item")
+        else:
+            also = marginals.select("item") if more else deltas.select(F.explode(F.array("item_a", "item_b")).alias("item"))
+            affected = keep_table(marginal.where("delta <> 0").select("item").union(also).distinct())
         self.pairs, self.marginals, self.baskets = pairs, marginals, baskets
         return affected
 
@@ -102,7 +124,7 @@ class PairTable:
         pairs = self.pairs.where(F.col("n_ab") >= least).select("item_a", "item_b", "n_ab")
         if affected is not None:
             a = pairs.join(affected.select(F.col("item").alias("item_a")), "item_a", "left_semi")
-            pairs = a.union(pairs.join(affected.select(F.col("item").alias("item_b")), "item_b", "left_semi")).distinct()
+            pairs = a.unionByName(pairs.join(affected.select(F.col("item").alias("item_b")), "item_b", "left_semi")).distinct()
         one = self.marginals.where(F.col("n") >= least)
         n = self.baskets.agg(F.countDistinct("basket").alias("n"))
         joined = pairs.join(one.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a").join(one.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b").join(F.broadcast(n))

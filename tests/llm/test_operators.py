@@ -279,6 +279,34 @@ def test_pair_table_follows_changes(spark):
     assert "new" in {r["item"] for r in touched.collect()}
 
 
+def test_changed_pairs_are_scored_again(spark, tmp_path):
+    def apply(table, baskets):
+        touched = table.apply(spark.createDataFrame([(k, t) for k, v in baskets.items() for t in v or [None]], "basket long, item string"))
+        return {(r["item_a"], r["item_b"]): r["lift"] for r in table.scores(touched).collect()}
+
+    def scores(table):
+        return {(r["item_a"], r["item_b"]): r["lift"] for r in table.scores().collect()}
+
+    path = str(tmp_path / "pairs")
+    table = pairs.PairTable(spark, path)
+    apply(table, {1: ["a", "x"], 2: ["b", "y"], 3: ["c", "d"], 4: ["c", "d"]})
+    old = scores(table)
+    # the swap leaves all counts of items as they were
+    stale = old | apply(table, {1: ["a", "y"], 2: ["b", "x"]})
+    assert {p: stale[p] for p in scores(table)} == scores(table) and ("b", "x") in stale
+    # another basket, then an empty one, change the lift of all pairs
+    for batch in ({5: ["new"]}, {5: []}):
+        stale = scores(table)
+        stale |= apply(table, batch)
+        assert stale == scores(table) != old and ("c", "d") in stale
+        old = stale
+    # reopened, a version that was not finished left aside
+    (tmp_path / "pairs" / "v9" / "pairs").mkdir(parents=True)
+    again = pairs.PairTable(spark, path)
+    assert scores(again) == scores(table) and again.version == 9
+    assert apply(again, {6: ["a", "y"]}) == scores(again) and scores(pairs.PairTable(spark, path)) == scores(again)
+
+
 def test_no_baskets(spark):
     empty = spark.createDataFrame([], "bookmark long, tag string")
     assert pairs.tag_pairs(empty).scores().count() == 0

@@ -163,6 +163,25 @@ def looks_filler(folded: str) -> bool:
     return len(words) >= 12 and len(set(words)) <= len(words) / 4
 
 
+def mostly_residue(raw: str, mask: str) -> bool:
+    """Whether at least half the words of a long line stand in sentences that are messages, or that hold unfilled fields and little else."""
+    rules = _rules()
+    parts = [x.strip() for x in _ENDS.split(mask)]
+    if len(parts) > 1 or _WEAK.search(mask):
+        said = sum(x.count(" ") + 1 for x in parts if x and (rules["residue"].match(x) or (_WEAK.search(x) and rules["within"].match(x))))
+        if said and 2 * said >= mask.count(" ") + 1:
+            return True
+    if _MARKS.search(raw) and FIELD.search(raw):
+        total = unfilled = 0
+        for x in _ENDS.split(raw):
+            hits = len(FIELD.findall(x))
+            words = len(re.findall(r"\w+", _TAG.sub(" ", FIELD.sub(" ", x))))
+            total += words + hits
+            unfilled += (words + hits) * (hits > 0 and words <= 3 + 3 * hits)
+        return 2 * unfilled >= total
+    return False
+
+
 def classify(raw: str, text: str, mask: str, words: int) -> int:
     """Class of one line without its surroundings."""
     rules = _rules()
@@ -203,7 +222,7 @@ def classify(raw: str, text: str, mask: str, words: int) -> int:
     if _NUMBERED.match(text):
         return ITEM
     if ends >= 2 or words > 30:
-        return PARAGRAPH
+        return RESIDUE if (words > 30 or ends > 3) and mostly_residue(raw, mask) else PARAGRAPH
     return DOUBTFUL if weak and words <= 20 else OTHER
 
 
@@ -231,11 +250,10 @@ def describe_pages(urls: list[str | None], bodies: list[str]) -> list[tuple[str,
                 text = plain_line(raw)
                 words = text.count(" ") + 1 if text else 0
                 folded = text.casefold()
+                mask = masked(text, site_pattern(host) if stem and stem in folded else None)
                 if words > 40:
-                    mask = folded
-                    kind = RESIDUE if looks_filler(mask) else PARAGRAPH
+                    kind = RESIDUE if looks_filler(mask) or mostly_residue(raw, mask) else PARAGRAPH
                 else:
-                    mask = masked(text, site_pattern(host) if stem and stem in folded else None)
                     kind = classify(raw, text, mask, words)
                 if short and not (stem and stem in folded):
                     if len(_SEEN) > 100_000:
@@ -268,7 +286,7 @@ def judge_page(classes: np.ndarray, sizes: np.ndarray, furniture: np.ndarray, me
     own = (classes & OWN_TOPIC) > 0
     kind = classes & ~OWN_TOPIC
     out = (kind == FURNITURE) | (kind == TEASER_HEAD) | (furniture & np.isin(kind, (OTHER, DOUBTFUL, PARAGRAPH)))
-    residue = (kind == RESIDUE) | (message & np.isin(kind, (OTHER, DOUBTFUL)))
+    residue = (kind == RESIDUE) | (message & np.isin(kind, (OTHER, DOUBTFUL, PARAGRAPH)))
     sure = ~out & ~residue & (np.isin(kind, (ITEM, CODE, PARAGRAPH)) | own)
     n = len(kind)
     later = np.zeros(n + 1, bool)

@@ -3,9 +3,9 @@
 Lines are masked (numbers, dates, addresses and the site's name), their exact
 hashes are grouped across sources, and phrase and placeholder rules classify
 them: a line that has the whole shape of a message, an unfilled field or filler
-counts at once; one that only holds words of such messages counts if it recurs
-on several sources in different sections and rarely with anything else of its
-own around it. A page is blocked if such lines stand where its content should.
+counts at once, and so does a longer line of mostly such sentences; any other
+line counts if it recurs on several sources (more of them if it holds no word of
+such messages) and rarely with anything else of its own around it. A page is blocked if such lines stand where its content should.
 """
 
 from __future__ import annotations
@@ -13,22 +13,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsieve.llm.pagelines import CODE, DOUBTFUL, ITEM, OWN_TOPIC, PARAGRAPH
+from keepsieve.llm.pagelines import CODE, DOUBTFUL, ITEM, OTHER, OWN_TOPIC, PARAGRAPH
 from keepsieve.plans.runtime import keep_table
 
 #: A doubtful line is a message from so many sources on, with at most such a share of its pages holding content.
 LEAST_SOURCES, MOST_WITH_CONTENT = 4, 0.3
+#: A line without any word of messages is one from so many sources on.
+LEAST_PLAIN = 8
 
 
 def recurring_messages(streams: DataFrame) -> DataFrame:
-    """(line): masked lines with words of messages that recur across sources on pages without content of their own."""
-    content = F.exists("kinds", lambda k: (k.bitwiseAND(OWN_TOPIC) > 0) | k.bitwiseAND(15).isin(PARAGRAPH, ITEM, CODE))
-    pages = streams.where(F.exists("kinds", lambda k: k.bitwiseAND(15) == DOUBTFUL)).select("host", content.alias("content"), F.explode(F.arrays_zip("lines", "kinds")).alias("x"))
-    lines = pages.where(F.col("x.kinds").bitwiseAND(15) == DOUBTFUL).select("host", "content", F.col("x.lines").alias("line"))
-    # one row per line and source first, so a line that fills a third of the pages is combined before the shuffle
-    by_source = lines.groupBy("line", "host").agg(F.count("*").alias("n"), F.sum(F.col("content").cast("int")).alias("with"))
-    by_line = by_source.groupBy("line").agg(F.count("*").alias("sources"), F.sum("n").alias("n"), F.sum("with").alias("with"))
-    return by_line.where((F.col("sources") >= LEAST_SOURCES) & (F.col("with") <= MOST_WITH_CONTENT * F.col("n"))).select("line")
+    """(line): masked lines of any length that recur across sources on pages without other content of their own."""
+    sure = lambda k: (k.bitwiseAND(OWN_TOPIC) > 0) | k.bitwiseAND(15).isin(PARAGRAPH, ITEM, CODE)
+    pages = streams.select("host", F.size(F.filter("kinds", sure)).alias("sure"), F.arrays_zip("lines", "kinds").alias("x"))
+    # only lines that stand alone somewhere are looked at, before anything is moved
+    alone = pages.where("sure <= 1").select("host", "sure", F.explode("x").alias("x"))
+    alone = alone.where(F.col("x.kinds").isin(OTHER, DOUBTFUL, PARAGRAPH) & (F.col("sure") == F.when(sure(F.col("x.kinds")), 1).otherwise(0)))
+    seen = alone.groupBy(F.col("x.lines").alias("line"), "host").agg(F.max((F.col("x.kinds") == DOUBTFUL).cast("int")).alias("weak"))
+    seen = seen.groupBy("line").agg(F.count("*").alias("sources"), F.max("weak").alias("weak"))
+    seen = keep_table(seen.where(F.col("sources") >= F.when(F.col("weak") == 1, LEAST_SOURCES).otherwise(LEAST_PLAIN)).select("line"))
+    lines = pages.select("sure", F.explode("x").alias("x")).where(F.col("x.kinds").bitwiseAND(15).isin(OTHER, DOUBTFUL, PARAGRAPH))
+    lines = lines.select(F.col("x.lines").alias("line"), (F.col("sure") > F.when(sure(F.col("x.kinds")), 1).otherwise(0)).alias("content")).join(seen, "line", "left_semi")
+    by_line = lines.groupBy("line").agg(F.count("*").alias("n"), F.sum(F.col("content").cast("int")).alias("with"))
+    return by_line.where(F.col("with") <= MOST_WITH_CONTENT * F.col("n")).select("line")
 
 
 def blocked_pages(links: DataFrame, *, url: str = "resolved", body: str = "body", keys: list[str] | None = None) -> DataFrame:

@@ -242,6 +242,19 @@ def test_recurring_messages_need_several_sources(spark):
     assert got == set(range(6))
 
 
+def test_long_residue(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    error = "Error 503: the page you asked for does not exist. Please try again later. We have been told about the problem and all of our people work on it as fast as they can. If the trouble lasts, call the number that stands on your bill. Go back to the start page or wait for some more minutes."
+    mail = "Dear {{ first_name }}, hello from {{ company }}. Your order {{ number }} of {{ date }} is sent. It goes to {{ street }}, {{ town }}. Call {{ phone }} or {{ mobile }}. Yours, {{ sender }}. " + " ".join(f"See {{{{ item{c} }}}} and {{{{ price{c} }}}} below." for c in "abcdef")
+    odd = "Questa pagina riposa per oggi, " + text(45) + ". Torna domani."
+    quoting = f"{text(20)}. Error 503: the page you asked for does not exist. {text(25)}. {{{{ name }}}} {text(20)}."
+    bodies = [error, mail, quoting] + [odd] * 10 + [f"{text(30)}. {text(12)}." for _ in range(10)]
+    df = spark.createDataFrame([(i, 0, f"https://s{i}.example/a/b", b) for i, b in enumerate(bodies)], "bookmark long, ordinal int, resolved string, body string")
+    got = {r["bookmark"] for r in residue.blocked_pages(df).where("blocked").collect()}
+    assert len(error.split()) > 40 < len(mail.split()) and got == {0, 1, *range(3, 13)}
+
+
 # ---- pairs
 
 

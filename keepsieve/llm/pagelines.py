@@ -72,8 +72,11 @@ _ENDS = re.compile(r"[.!?…。](?:[\"'”»)\]]*)(?:\s|$)")
 _DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _ADDRESS = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+|(?<=\s)/[\w/.-]+|\b[0-9a-f]{8,}\b")
+_HEX = re.compile(r"\b[0-9a-f]{8,}\b")
 _DATE = re.compile(r"\b\d{4}-\d\d?-\d\d?\b|\b\d\d?[./]\d\d?[./]\d{2,4}\b")
 _WEAK = re.compile(r"\b(?:errors?|fehler|erreur|request id|own words|own text|scripts?|javascript|js|browser|loading|session|server|reload|refresh|unavailable|expired|suspended|forbidden|denied|gateway|timeout|try again|not found|no longer|broken|placeholder|lorem)\b", re.I)
+#: Every shape that may begin anywhere holds one of these.
+_WITHIN = ("error", "fehler", "erreur", "request id", "own words", "own text")
 _BYLINE = re.compile(r"(?:By|Von|Por|Par|Door) (?:[A-Z][\w.'’-]+ ?){1,4}|[A-ZÀ-Þ][a-zß-ÿ]+ [A-ZÀ-Þ][a-zß-ÿ]+")
 _EDGE = ".,;:!?\"'()[]…"
 _EDGES = str.maketrans(dict.fromkeys(_EDGE, " "))
@@ -145,7 +148,10 @@ def masked(text: str, site: re.Pattern | None) -> str:
     if site is not None:
         text = site.sub("SITE", text)
     if _DIGIT.search(text):
-        text = _NUMBER.sub("0", _ADDRESS.sub("ADDRESS", _DATE.sub("0", text)))
+        text = _DATE.sub("0", text)
+        # without these signs only the last kind of address, long hexadecimal words, can occur
+        address = _ADDRESS if "/" in text or "@" in text or "www." in text else _HEX
+        text = _NUMBER.sub("0", address.sub("ADDRESS", text))
     elif "/" in text or "@" in text or "www." in text:
         text = _ADDRESS.sub("ADDRESS", text)
     return text.casefold()
@@ -166,11 +172,10 @@ def looks_filler(folded: str) -> bool:
 def mostly_residue(raw: str, mask: str) -> bool:
     """Whether at least half the words of a long line stand in sentences that are messages, or that hold unfilled fields and little else."""
     rules = _rules()
-    parts = [x.strip() for x in _ENDS.split(mask)]
-    if len(parts) > 1 or _WEAK.search(mask):
-        said = sum(x.count(" ") + 1 for x in parts if x and (rules["residue"].match(x) or (_WEAK.search(x) and rules["within"].match(x))))
-        if said and 2 * said >= mask.count(" ") + 1:
-            return True
+    within = rules["within"].match if any(w in mask for w in _WITHIN) else None
+    said = sum(x.count(" ") + 1 for x in map(str.strip, _ENDS.split(mask)) if x and (rules["residue"].match(x) or (within and within(x))))
+    if said and 2 * said >= mask.count(" ") + 1:
+        return True
     if _MARKS.search(raw) and FIELD.search(raw):
         total = unfilled = 0
         for x in _ENDS.split(raw):

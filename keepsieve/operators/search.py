@@ -178,27 +178,36 @@ def bigram_candidates(items: DataFrame, text: str, *, id: str = "id", content: s
 
 
 def _distances(codes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fewest edits, first column where a match of so few ends) of a pattern of up to 64 characters in each row.
+    """(fewest edits, first column where a match of so few ends) of a pattern in each row.
 
-    Myers' bit-parallel scan (1999), one column of all rows at a time; 0 pads a row.
+    Myers' bit-parallel scan (1999) in blocks of 64 characters, one column of
+    all rows at a time; 0 pads a row.
     """
-    m, one = len(target), np.uint64(1)
-    masks = np.zeros(codes.shape, np.uint64)
-    for c in np.unique(target):
-        bits = np.uint64(sum(1 << int(i) for i in np.flatnonzero(target == c)))
-        masks[codes == c] = bits
-    top = one << np.uint64(m - 1)
-    up, down = np.full(len(codes), ~np.uint64(0)), np.zeros(len(codes), np.uint64)
+    m, one, none = len(target), np.uint64(1), np.uint64(0)
+    blocks = []
+    for lo in range(0, m, 64):
+        part = target[lo : lo + 64]
+        masks = np.zeros(codes.shape, np.uint64)
+        for c in np.unique(part):
+            masks[codes == c] = np.uint64(sum(1 << int(i) for i in np.flatnonzero(part == c)))
+        blocks.append([masks, np.uint64(len(part) - 1), np.full(len(codes), ~none), np.zeros(len(codes), np.uint64)])
     score, best, at = np.full(len(codes), m), np.full(len(codes), m + 1), np.full(len(codes), -1)
     inside = codes > 0
     for j in range(codes.shape[1]):
-        eq = masks[:, j]
-        xv = eq | down
-        xh = (((eq & up) + up) ^ up) | eq
-        ph, mh = down | ~(xh | up), up & xh
-        score = score + ((ph & top) > 0) - ((mh & top) > 0)
-        ph, mh = ph << one, mh << one
-        up, down = mh | ~(xv | ph), ph & xv
+        # steps up and down at the last row of a block go into the next one
+        ph_in, mh_in = none, none
+        for block in blocks:
+            masks, top, up, down = block
+            eq = masks[:, j]
+            xv = eq | down
+            eq = eq | mh_in
+            xh = (((eq & up) + up) ^ up) | eq
+            ph, mh = down | ~(xh | up), up & xh
+            ph_out, mh_out = (ph >> top) & one, (mh >> top) & one
+            ph, mh = (ph << one) | ph_in, (mh << one) | mh_in
+            block[2], block[3] = mh | ~(xv | ph), ph & xv
+            ph_in, mh_in = ph_out, mh_out
+        score = score + ph_in.astype(np.int64) - mh_in.astype(np.int64)
         better = (score < best) & inside[:, j]
         best, at = np.where(better, score, best), np.where(better, j, at)
     return best, at
@@ -224,10 +233,9 @@ def typo_scores(texts: Column, query: str) -> Column:
 
     The budget is a quarter of the query's length, one at least. The score is 1
     for an exact occurrence and falls with each edit; first and last are the
-    inclusive character positions matched. Of a longer query the first 64
-    characters count.
+    inclusive character positions matched.
     """
-    needle = query.lower()[:64]
+    needle = query.lower()
     budget = max(1, len(needle) // 4)
 
     @F.pandas_udf("score double, first int, last int")

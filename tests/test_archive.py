@@ -191,6 +191,34 @@ def test_search(spark):
     assert [tuple(r) for r in got] == [(1, 3), (7, 7), (9, 10)]
 
 
+def test_typo_search_of_long_queries(spark):
+    import random
+
+    import numpy as np
+
+    def fewest(text, needle):
+        row, best = list(range(len(needle) + 1)), (len(needle) + 1, -1)
+        for j, c in enumerate(text):
+            nxt = [0]
+            for i, d in enumerate(needle, 1):
+                nxt.append(min(row[i - 1] + (c != d), row[i] + 1, nxt[i - 1] + 1))
+            row, best = nxt, min(best, (nxt[-1], j))
+        return best
+
+    rng = random.Random(4)
+    for m in (3, 63, 64, 65, 128, 150):
+        needle = "".join(rng.choices("abc", k=m))
+        near = "".join(c for c in needle if rng.random() > 0.05)
+        texts = [x.ljust(220, "z") for x in ("".join(rng.choices("abc", k=200)), "c" + needle, near, near[:70])]
+        codes = np.array(texts, dtype="U220").view(np.uint32).reshape(4, 220)
+        edits, end = search._distances(codes, np.array([ord(c) for c in needle], np.uint32))
+        assert list(zip(edits.tolist(), end.tolist())) == [fewest(t, needle) for t in texts]
+    long = "the quick brown fox jumps over the lazy dog while nobody in the whole wide valley looks up from work"
+    docs = spark.createDataFrame([(1, long[:64] + " and all else differs from here"), (2, "so " + long)], "id long, text string")
+    scores = {r["id"]: r["x"] for r in docs.select("id", search.typo_scores(F.col("text"), long).alias("x")).collect()}
+    assert scores[2]["score"] == 1 and (scores[2]["first"], scores[2]["last"]) == (3, 2 + len(long)) and not scores[1]["score"] == 1
+
+
 def test_rules(spark):
     urls_ = ["https://github.com/a", "https://arxiv.org/1", "https://x.example", None]
     got = [r[0] for r in col(spark, urls_).select(rules.route(F.col("x"))).collect()]

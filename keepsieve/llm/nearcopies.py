@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from keepsieve.operators.components import components
 from keepsieve.plans.runtime import keep_table
 
-#: Coordinates in a band, and bands: pairs of similarity 0.55 meet with 0.99, of 0.6 with 0.998, of 0.1 with 0.005.
+#: Coordinates in a band, and bands: pairs of similarity 0.5 meet with 0.955, of 0.55 with 0.99, of 0.6 with 0.998, of 0.1 with 0.005.
 ROWS, BANDS = 4, 48
 #: Documents whose darts are thrown at once.
 CHUNK = 1024
@@ -190,6 +190,10 @@ def near_copies(texts: DataFrame, *, id: str, text: str, words: int = 5, least:
     ``words``) take no part; null ids or texts neither. An id that comes with
     several texts is a member of several classes. Empty tables give empty
     results; other columns are ignored.
+
+    Only pairs that meet in a band are compared: with the default bands one of
+    similarity 0.5 is missed with 0.045, of 0.55 with 0.01, of 0.8 with less
+    than a billionth.
     """
     given = texts.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     given = given.select("id", "text", F.xxhash64("text").alias("key1"), F.hash("text").alias("key2"))

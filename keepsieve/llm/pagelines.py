@@ -10,109 +10,46 @@ from urllib.parse import urlsplit
 import numpy as np
 import pandas as pd
 
-BLANK, FURNITURE, TEASER_HEAD, RESIDUE, ITEM, PARAGRAPH, CODE, OTHER, DOUBTFUL, BYLINE = range(10)
-#: Added to a class where the line names the page's own topic (last part of its address).
-OWN_TOPIC = 16
+RESIDUE, ITEM, PARAGRAPH, CODE, OTHER, DOUBTFUL, BYLINE = range(1, 8)
+#: Added to the class of a line's first part where the line names the page's own topic (last part of its address), and where the part is a label before a colon.
+OWN_TOPIC, LABEL = 16, 32
+#: Marks of a part of a line: furniture, heading over other articles, message.
+MARK_FURNITURE, MARK_HEAD, MARK_MESSAGE = 1, 2, 4
 
-# Labels of navigation entries and page tools.
-NAVIGATION = """Home|Menu|About us|About|Contact|Contact us|Search|News|Latest|Opinion|Archive|Archives|Topics|Events|Shop|Jobs|Help|
-Podcasts|Newsletters|Newsletter|Authors|My account|Account|Sign up|Sign in|Log in|Login|Log out|Register|Subscribe|Sections|Categories|
-Inicio|Menú|Quiénes somos|Contacto|Buscar|Noticias|Opinión|Archivo|Temas|Eventos|Tienda|Empleo|Ayuda|Mi cuenta|Entrar|Registrarse|
-Startseite|Menü|Über uns|Kontakt|Suche|Aktuelles|Meinung|Archiv|Themen|Termine|Laden|Stellen|Hilfe|Mein Konto|Anmelden|Registrieren|
-Accueil|À propos|Nous joindre|Rechercher|Actualités|Avis|Thèmes|Événements|Boutique|Emplois|Aide|Mon compte|Connexion|S'inscrire|
-Over ons|Zoeken|Nieuws|Vacatures|Mijn account|Inloggen|Onderwerpen"""
-# Complete lines of page furniture; SITE stands for the site's name, 0 for a number.
-PHRASES = """Made with care in a small office.|Accessibility statement|Accessibility|Terms of use|Privacy|Privacy policy|Imprint|Cookie policy|
-Advertise with us|Advertisement|Sponsored content|Back to top|Skip to content|Download our app for a better experience.|Already a subscriber? Log in|
-Was this page helpful? Yes / No|Reproduction only with written permission of SITE.|SITE is published by the SITE Media Group.|All rights reserved.|
-OK, got it|Accept all|Accept|Allow|Allow all|Manage choices|Reject|Reject all|Only what is needed|Agree|Decline|Settings|Publicidad|Publicité|Anzeige|
-Werbung|Mediadaten|Accesibilidad|Accessibilité|Barrierefreiheit|Aviso legal|Privacidad|Impressum|Datenschutz|AGB|Mentions légales|Confidentialité|
-Nach oben|Volver arriba|Haut de page|Saltar al contenido|Aller au contenu|Zum Inhalt springen|Rechazar|Configurar|Aceptar todo|Aceptar|De acuerdo|
-Tout accepter|Refuser|Paramétrer|J'ai compris|Alle akzeptieren|Ablehnen|Einstellungen|Verstanden|SITE"""
-# Beginnings or whole shapes of furniture lines.
-FURNITURE_SHAPES = """©.*|copyright ©?.*|version [0.]+ – report a problem with this page|follow us( on)?:.*|0 (shares|comments|replies|likes|kommentare|comentarios|commentaires|reacties)\\b.*|
-rate this page\\b.*|share this\\b.*|(compartir|partager|artikel teilen)\\s?:.*|reading time: .*|listen to this article\\b.*|enable scripts to see the .*(replies|comments).*|
-the views expressed by .* do not reflect .*|sign up for our newsletter\\b.*|get SITE in your inbox\\b.*|support independent writing\\b.*|click here to follow\\b.*|
-please disable your ad ?blocker\\b.*|enjoying this\\? .*subscri.*|reproduction (only|interdite)\\b.*|(prohibida la reproducción|nachdruck nur)\\b.*|SITE is published by .*|
-(suscríbete|abonnez-vous|jetzt den newsletter)\\b.*|(apoya a|soutenez|unterstützen sie) SITE\\b.*|
-(this site|our pages|we|SITE|like most sites,? SITE|this website|our partners and we|we and our partners)\\b.{0,40}\\b(use|uses|store|stores|place|places|set|sets|rely|relies|keep|keeps|measure|measures|save|saves)\\b.*\\b(cookies?|trackers?|identifiers?|small files|your device|your browser|audience)\\b.*|
-(usamos|utilizamos) cookies\\b.*|este sitio (guarda|usa|utiliza)\\b.*|nosotros y nuestros socios\\b.*|configura tus preferencias\\b.*|nous utilisons des cookies\\b.*|ce site (dépose|utilise)\\b.*|
-nos partenaires et nous\\b.*|choisissez vos préférences\\b.*|(wir verwenden|diese seite (speichert|verwendet|nutzt))\\b.*|mit ihrer zustimmung\\b.*|bitte wählen sie ihre datenschutz\\b.*|
-(tags|etiquetas|schlagwörter|schlagworte|mots-clés|trefwoorden): .*|
-(by going on|by continuing|some of them are strictly necessary|choose what you allow|you can change your mind)\\b.*"""
-# Headings over lists of other articles.
-TEASER_HEADS = """Up next|Related stories|Related articles|From the archive|You may also like|You might also like|Most read|Most popular|Trending now|Trending|
-Read next|Read also|Elsewhere on SITE|More from SITE|More on SITE|New on SITE|Noticias relacionadas|Lo más leído|Te puede interesar|Más en SITE|
-Les plus lus|À lire aussi|Sur le même sujet|Encore sur SITE|Das könnte Sie auch interessieren|Meistgelesen|Mehr zum Thema|Neu auf SITE|Lees ook|Meest gelezen|Meer op SITE"""
-# Shapes of messages shown in place of content: errors, waiting pages, script notices, set-up texts.
-RESIDUE_SHAPES = """(error |fehler |erreur |http )?[0]{1,3}( |:|–|-)*.{0,30}(not found|bad gateway|forbidden|unauthori[sz]ed|internal server error|service unavailable|gateway time-?out|too many requests|page you asked for).*|
-error 0: .*|0 – .*|0 (bad gateway|forbidden)\\b.*|(internal )?server error\\b.*|gateway time-?out\\b.*|.*\\(error 0\\)|.* – (fehler|error|erreur) 0|
-(the )?page (was |could )?not (be )?found.*|página no encontrada.*|die seite wurde nicht gefunden.*|page introuvable.*|cette page n'existe plus.*|erreur interne du serveur.*|interner serverfehler.*|error interno del servidor.*|
-(zugriff verweigert|acceso denegado|accès refusé|access denied)\\b.*|lo sentimos, el servicio no responde.*|oops!? something went wrong.*|something went wrong.*|we could not find what you were looking for.*|
-the link you followed may be broken.*|this content is no longer available.*|this (account|site|domain|page) has been (suspended|removed|deleted|disabled)\\b.*|your session has expired.*|service (temporarily )?unavailable.*|
-the connection to the database failed.*|checking that you are (a )?human.*|(just a moment|please wait|one moment)\\b.*(ready|\\.\\.\\.|…)?|loading ?(…|\\.\\.\\.).*|please try again later\\.?|
-we have been told about the problem.*|if the trouble lasts.*|go back to the start page.*|path: /.*|webserver/.*|request id\\b.*|.*, request id .*|if you see this for more than .* reload\\.?|
-(please )?(enable|activate|turn on|allow|activa|activez|aktivieren sie|bitte aktivieren sie|veuillez activer)\\b.*(javascript|scripts?|scripting)\\b.*|javascript (is|must be|needs to be|seems to be)\\b.*|
-(sorry,? )?(this (site|app|page|website|content)|site|the (site|page|app))\\b.{0,40}\\b(requires?|needs?)\\b.*\\b(js|javascript|scripts?|scripting)\\b.*|you need to turn on scripts\\b.*|noscript\\b.*|your browser is not supported.*|content is rendered by a script.*|
-too many requests\\b.*|fatal error: .*|(uncaught|unhandled) exception\\b.*|
-nothing has been written yet.*|this entry was put here when .*|example (entry|post|page)\\b.*|.*your own (words|text) belongs? here.*|a first entry|hello world!?|sample page|this is a sample (paragraph|page|text)\\b.*|.*\\breplace it with your own (words|text)\\b.*|
-(just another|this is where your)\\b.*(site|content|text)\\b.*|(coming soon|under construction)\\.?"""
-# Words and phrases of filler.
-FILLER = frozenset("xxx test tests blah tbd asdf qwerty foo bar baz lorem ipsum dolor todo placeholder filler dummy sample text sit amet consectetur".split())
 #: An unfilled field of the usual template languages and mail merges.
 FIELD = re.compile(
     r"\{\{[^{}]{1,60}\}\}|\{%[^{}]{1,80}%\}|<%=?[^<>]{1,60}%>|\$\{[\w. ]{1,40}\}|\$\[[\w. ]{1,40}\]|\[\[[A-Z_ ]{2,40}\]\]|###?[A-Z_]{2,40}###?|%[A-Z_]{2,40}%|%%[A-Za-z_]{2,40}%%|__[A-Z]+(?:_[A-Z]+)*__"
-    r"|\[(?:[Ii]nsert|[Yy]our|[Aa]dd|[Ee]nter)\b[^\[\]]{0,50}\]|&lt;[a-z_]{2,30}&gt;|\*\|[A-Z_:]{2,40}\|\*|<<[A-Za-z_ ]{2,40}>>"
+    r"|\[(?:[Ii]nsert|[Yy]our|[Aa]dd|[Ee]nter)\b[^\[\]]{0,50}\]|&lt;[a-z_]{2,30}&gt;|\*\|[A-Z_:]{2,40}\|\*|<<[A-Za-z_ ]{2,40}>>|@@[A-Za-z_]{2,40}@@|\b[A-Z]+(?:_[A-Z]+)*_HERE\b|\{\d{1,2}\}"
 )
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:let|const|var|def|return|import|from|for|while|if|else|fn|func|print)\b.*[(){}=:]|^\s*[#$>]\s?\w+ .*(?:--?\w)|^\s*</?\w+[^>]*>\s*$")
-_MARKS = re.compile(r"[;{}()=<>#$%\[\]_*&]")
+_MARKS = re.compile(r"[;{}()=<>#$%\[\]_*&@]")
 _NUMBERED = re.compile(r"\d+[.)] ")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->")
 _ENDS = re.compile(r"[.!?…。](?:[\"'”»)\]]*)(?:\s|$)")
 _DIGIT = re.compile(r"\d")
-_NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
+_NUMBER = re.compile(r"(?<![^\W\d_])\d+(?:[.,:]\d+)*")
 _ADDRESS = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+|(?<=\s)/[\w/.-]+|\b[0-9a-f]{8,}\b")
 _HEX = re.compile(r"\b[0-9a-f]{8,}\b")
 _DATE = re.compile(r"\b\d{4}-\d\d?-\d\d?\b|\b\d\d?[./]\d\d?[./]\d{2,4}\b")
-_WEAK = re.compile(r"\b(?:errors?|fehler|erreur|request id|own words|own text|scripts?|javascript|js|browser|loading|session|server|reload|refresh|unavailable|expired|suspended|forbidden|denied|gateway|timeout|try again|not found|no longer|broken|placeholder|lorem)\b", re.I)
-#: Every shape that may begin anywhere holds one of these.
-_WITHIN = ("error", "fehler", "erreur", "request id", "own words", "own text")
+_WIDE, _WORDS, _LEFT = re.compile(r"[ \t]{2,}"), re.compile(r"\w+"), re.compile(r"<[a-z_]{2,30}>")
+# Words that only stand in for text.
+FILLER = frozenset("xxx test tests blah tbd asdf qwerty foo bar baz lorem ipsum dolor todo placeholder filler dummy".split())
+# Words of messages shown in place of content.
+_WEAK = re.compile(r"\b(?:errors?|fehler|erreur|not found|forbidden|denied|unavailable|expired|suspended|timeout|too many requests|scripts?|javascript|loading|reload|try again|no longer)\b", re.I)
 _BYLINE = re.compile(r"(?:By|Von|Por|Par|Door) (?:[A-Z][\w.'’-]+ ?){1,4}|[A-ZÀ-Þ][a-zß-ÿ]+ [A-ZÀ-Þ][a-zß-ÿ]+")
-_EDGE = ".,;:!?\"'()[]…"
-_EDGES = str.maketrans(dict.fromkeys(_EDGE, " "))
-_GLUE = " ·|/›»>•,–-*\t"
-
-
-def _split(block: str) -> list[str]:
-    return [x for x in block.replace("\n", "").split("|") if x]
-
-
-def _shapes(block: str) -> list[str]:
-    out, depth, part = [], 0, ""
-    for c in block.replace("\n", ""):
-        depth += (c == "(") - (c == ")")
-        if c == "|" and depth == 0:
-            out.append(part)
-            part = ""
-        else:
-            part += c
-    return [x for x in [*out, part] if x]
-
-
-@functools.cache
-def _rules() -> dict:
-    labels = sorted(_split(NAVIGATION), key=len, reverse=True)
-    either = "|".join(map(re.escape, labels))
-    return {
-        "row": re.compile(rf"(?:\s*[{re.escape(_GLUE)}]*\s*(?:site|{either}))+[{re.escape(_GLUE)}\s]*", re.I),
-        "row_own": re.compile(rf"(?:(?:{either})\s*[/›»>|·]\s*)+\S.{{0,60}}", re.I),
-        "phrases": {p.casefold() for p in _split(PHRASES)} | {p.casefold() for p in labels},
-        "heads": {p.casefold() for p in _split(TEASER_HEADS)},
-        "furniture": re.compile("|".join(f"(?:{s.replace('SITE', 'site')})" for s in _shapes(FURNITURE_SHAPES)), re.I),
-        # shapes that may begin anywhere are tried only on lines with a word of such messages
-        "residue": re.compile("|".join(f"(?:{s})\\Z" for s in _shapes(RESIDUE_SHAPES) if not s.startswith(".*"))),
-        "within": re.compile("|".join(f"(?:{s})\\Z" for s in _shapes(RESIDUE_SHAPES) if s.startswith(".*"))),
-    }
+_EDGES = str.maketrans(dict.fromkeys(".,;:!?\"'()[]…", " "))
+#: Between the parts of a row of labels.
+_BETWEEN = re.compile(r"\s+[·|/›»>•–—]\s+|\s{2,}|(?<=:)\s+")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+_GLUED = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
+_CAPITAL = re.compile(r"(?<=\s)(?=[A-ZÀ-ÖØ-Þ])")
+_LIST_MARK = re.compile(r"[-*•‣◦▪+]\s+")
+#: Words in a row of labels at most, and capitals from which on labels may be set apart by blanks alone.
+ROW_WORDS, ROW_CAPITALS = 24, 4
+#: Words up to which a paragraph is taken apart by sentences: notices are put together from them.
+NOTE_WORDS = 40
+#: Share of the parts of a row that makes it furniture.
+MOST_PARTS = 0.6
 
 
 @functools.lru_cache(4096)
@@ -136,17 +73,19 @@ def address_parts(url: str | None) -> tuple[str, str, str]:
 
 
 def plain_line(line: str) -> str:
-    """The line's text: without tags, entities resolved, blanks collapsed."""
-    text = _TAG.sub(" ", line) if "<" in line else line
+    """The line's text: without tags, entities resolved, blanks collapsed (but two or more stay two, as they set labels apart)."""
+    text = " ".join(_TAG.sub(" ", line).split()) if "<" in line else line
     if "&" in text:
         text = html.unescape(text)
-    return " ".join(text.split())
+    return "  ".join(" ".join(x.split()) for x in _WIDE.split(text.strip())) if "  " in text or "\t" in text else " ".join(text.split())
 
 
 def masked(text: str, site: re.Pattern | None) -> str:
-    """Dates, addresses, numbers and the site's own name replaced by marks; case folded."""
+    """Unfilled fields, dates, addresses, numbers and the site's own name replaced by marks."""
     if site is not None:
         text = site.sub("SITE", text)
+    if _MARKS.search(text):
+        text = _LEFT.sub("FIELD", FIELD.sub("FIELD", text))
     if _DIGIT.search(text):
         text = _DATE.sub("0", text)
         # without these signs only the last kind of address, long hexadecimal words, can occur
@@ -154,161 +93,167 @@ def masked(text: str, site: re.Pattern | None) -> str:
         text = _NUMBER.sub("0", address.sub("ADDRESS", text))
     elif "/" in text or "@" in text or "www." in text:
         text = _ADDRESS.sub("ADDRESS", text)
-    return text.casefold()
+    return text
+
+
+def line_parts(mask: str, words: int) -> list[str]:
+    """The labels of a row, however they are set apart, the sentences of a short paragraph, or the whole line; case folded, without list mark."""
+    body = _LIST_MARK.sub("", mask, 1) if mask[0] in "-*•‣◦▪+" else mask
+    if words > NOTE_WORDS:
+        return [body.casefold()]
+    if body[-1:] in ".!?…":
+        return [x for x in _SENTENCE.split(body.casefold()) if x]
+    if words > ROW_WORDS:
+        return [body.casefold()]
+    parts = _BETWEEN.split(body)
+    if len(parts) == 1:
+        if len(glued := _GLUED.split(body)) > 2:
+            parts = glued
+        elif words >= ROW_CAPITALS and len(apart := _CAPITAL.split(body)) >= max(ROW_CAPITALS, 0.6 * words):
+            parts = apart
+    return [x for p in parts if (x := p.strip().casefold())]
 
 
 def looks_filler(folded: str) -> bool:
-    """Whether a case-folded text is filler: known filler words, a stand-in sentence, or the same few words over and over."""
+    """Whether a case-folded text is filler: the usual dummy Latin or dummy words, or the same few words over and over."""
     words = folded.translate(_EDGES).split()
     if words[:2] == ["lorem", "ipsum"]:
         return True
     if len(words) >= 3 and not FILLER.isdisjoint(words) and sum(w in FILLER for w in words) >= 0.7 * len(words):
         return True
-    if "goes here" in folded and len(words) <= 60 and len(set(words)) <= 6:
-        return True
-    return len(words) >= 12 and len(set(words)) <= len(words) / 4
+    few = len(set(words))
+    return len(words) >= 12 and few <= len(words) / 4 or len(words) >= 6 and few <= 3
 
 
-def mostly_residue(raw: str, mask: str) -> bool:
-    """Whether at least half the words of a long line stand in sentences that are messages, or that hold unfilled fields and little else."""
-    rules = _rules()
-    within = rules["within"].match if any(w in mask for w in _WITHIN) else None
-    said = sum(x.count(" ") + 1 for x in map(str.strip, _ENDS.split(mask)) if x and (rules["residue"].match(x) or (within and within(x))))
-    if said and 2 * said >= mask.count(" ") + 1:
-        return True
-    if _MARKS.search(raw) and FIELD.search(raw):
-        total = unfilled = 0
-        for x in _ENDS.split(raw):
-            hits = len(FIELD.findall(x))
-            words = len(re.findall(r"\w+", _TAG.sub(" ", FIELD.sub(" ", x))))
-            total += words + hits
-            unfilled += (words + hits) * (hits > 0 and words <= 3 + 3 * hits)
-        return 2 * unfilled >= total
-    return False
+def mostly_fields(raw: str) -> bool:
+    """Whether at least half the words of a line stand in sentences that hold unfilled fields and little else."""
+    total = unfilled = 0
+    for x in _ENDS.split(raw):
+        hits = len(FIELD.findall(x))
+        words = len(_WORDS.findall(_TAG.sub(" ", FIELD.sub(" ", x))))
+        total += words + hits
+        unfilled += (words + hits) * (hits > 0 and words <= 3 + 3 * hits)
+    return total > 0 and 2 * unfilled >= total
 
 
-def classify(raw: str, text: str, mask: str, words: int) -> int:
-    """Class of one line without its surroundings."""
-    rules = _rules()
+def classify(raw: str, text: str, folded: str, words: int) -> int:
+    """Class of one line by its shape alone."""
     if not text:
-        return RESIDUE if FIELD.search(raw) else FURNITURE if raw.strip() else BLANK
-    if mask in rules["phrases"]:
-        return FURNITURE
-    if mask in rules["heads"]:
-        return TEASER_HEAD
-    code = False
+        return RESIDUE if FIELD.search(raw) else OTHER
     if _MARKS.search(raw):
-        hits = FIELD.findall(raw) if words <= 30 else ()
-        code = _CODE.search(plain_line(FIELD.sub(" ", raw)) if hits else text) is not None
-        if hits and not code and len(re.findall(r"\w+", _TAG.sub(" ", FIELD.sub(" ", raw)))) <= 3 + 3 * len(hits):
+        field = FIELD.search(raw) is not None
+        code = _CODE.search(plain_line(FIELD.sub(" ", raw)) if field else text) is not None
+        if field and not code and mostly_fields(raw):
             return RESIDUE
-    if looks_filler(mask):
+        if code:
+            return CODE
+    if looks_filler(folded):
         return RESIDUE
-    if code:
-        return CODE
-    if mask.startswith("- "):
+    if text[0] in "-*•‣◦▪+" and _LIST_MARK.match(text) or _NUMBERED.match(text):
         return ITEM
-    body = mask.lstrip("*•‣◦▪ ") if mask[0] in "*•‣◦▪" else mask
-    if words <= 40:
-        if words <= 30 and mask[-1] not in ".!?" and (rules["row"].fullmatch(body) or rules["row_own"].fullmatch(body)):
-            return FURNITURE
-        if body in rules["phrases"] or rules["furniture"].fullmatch(body):
-            return FURNITURE
-        if words <= 16 and any(c in body for c in "·|/›»•–"):
-            pieces = [p.strip() for p in re.split(r"\s[·|/›»•–]\s", body)]
-            if len(pieces) > 1 and all(p in rules["phrases"] for p in pieces):
-                return FURNITURE
     if words <= 6 and _BYLINE.fullmatch(text):
         return BYLINE
-    ends = len(_ENDS.findall(text))
-    weak = words <= 30 and ends <= 3 and _WEAK.search(body) is not None
-    if words <= 30 and ends <= 3 and (rules["residue"].match(body) or (weak and rules["within"].match(body))):
-        return RESIDUE
-    if _NUMBERED.match(text):
-        return ITEM
-    if ends >= 2 or words > 30:
-        return RESIDUE if (words > 30 or ends > 3) and mostly_residue(raw, mask) else PARAGRAPH
-    return DOUBTFUL if weak and words <= 20 else OTHER
+    if words > 30 or len(_ENDS.findall(text)) >= 2:
+        return PARAGRAPH
+    return DOUBTFUL if words <= 20 and _WEAK.search(text) is not None else OTHER
 
 
 #: Lines that don't name their site, with what was found for them; bounded, per worker.
-_SEEN: dict[str, tuple[str, str, int, int]] = {}
+_SEEN: dict[str, tuple[str, list[str], int, int]] = {}
 
 
-def describe_pages(urls: list[str | None], bodies: list[str]) -> list[tuple[str, str, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per page: host, section, and for each line its hash, class and number of words."""
-    keys_text: list[str] = []
+def describe_pages(urls: list[str | None], bodies: list[str]) -> list[tuple[str, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per page: host, section, and for each part of a line that isn't blank: its hash, its line's number, class and number of words."""
+    texts: list[str] = []
     pages = []
     for url, body in zip(urls, bodies, strict=True):
         host, section, topic = address_parts(url)
         stem = host.split(".")[0][:3]
-        classes, sizes = [], []
-        for raw in body.split("\n"):
+        at, classes, sizes = [], [], []
+        for number, raw in enumerate(body.split("\n"), 1):
             if not raw or raw.isspace():
-                keys_text.append("")
-                classes.append(BLANK)
-                sizes.append(0)
                 continue
             short = len(raw) < 240
             got = _SEEN.get(raw) if short else None
             if got is None or (stem and stem in got[0]):
                 text = plain_line(raw)
-                words = text.count(" ") + 1 if text else 0
+                words = len(text.split())
                 folded = text.casefold()
-                mask = masked(text, site_pattern(host) if stem and stem in folded else None)
-                if words > 40:
-                    kind = RESIDUE if looks_filler(mask) or mostly_residue(raw, mask) else PARAGRAPH
-                else:
-                    kind = classify(raw, text, mask, words)
-                if short and not (stem and stem in folded):
+                named = stem != "" and stem in folded
+                parts = line_parts(masked(text, site_pattern(host) if named else None), words) if text else [""]
+                kind = classify(raw, text, folded, words)
+                if short and not named:
                     if len(_SEEN) > 100_000:
                         _SEEN.clear()
-                    _SEEN[raw] = folded, mask, kind, words
+                    _SEEN[raw] = folded, parts, kind, words
             else:
-                _, mask, kind, words = got
-            if len(topic) >= 4 and kind in (OTHER, DOUBTFUL, PARAGRAPH, ITEM) and topic in mask:
-                kind += OWN_TOPIC
-            keys_text.append(mask)
-            classes.append(kind)
-            sizes.append(words)
-        pages.append((host, section, classes, sizes))
-    codes, names = pd.factorize(np.array(keys_text, dtype=object))
+                folded, parts, kind, words = got
+            texts.extend(parts)
+            n = len(parts)
+            at.extend([number] * n)
+            sizes.extend([words] * n)
+            classes.extend([kind] * n)
+            label = n > 1 and parts[0][-1] == ":"
+            # the path to a page in a row of labels names its topic too
+            if len(topic) >= 4 and (n == 1 or label) and kind in (OTHER, DOUBTFUL, PARAGRAPH, ITEM) and topic in folded:
+                classes[-n] += OWN_TOPIC
+            if label:
+                classes[-n] += LABEL
+        pages.append((host, section, at, classes, sizes))
+    codes, names = pd.factorize(np.array(texts, dtype=object))
     hashes = pd.util.hash_array(np.asarray(names, dtype=object), categorize=False).view(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
-    out, at = [], 0
-    for host, section, classes, sizes in pages:
+    out, start = [], 0
+    for host, section, at, classes, sizes in pages:
         n = len(classes)
-        out.append((host, section, hashes[at : at + n], np.array(classes, np.int8), np.minimum(np.array(sizes), 32000).astype(np.int16)))
-        at += n
+        out.append((host, section, hashes[start : start + n], np.array(at, np.int32), np.array(classes, np.int8), np.minimum(np.array(sizes), 32000).astype(np.int16)))
+        start += n
     return out
 
 
-def judge_page(classes: np.ndarray, sizes: np.ndarray, furniture: np.ndarray, message: np.ndarray) -> tuple[np.ndarray, bool]:
-    """(lines outside the main body, whether residue stands in place of content) of one page.
+def judge_pages(ends: np.ndarray, at: np.ndarray, kinds: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(numbers of the lines outside the main body, whether residue stands in place of content) of each page.
 
-    ``furniture`` and ``message`` mark the lines that the corpus shows to be
-    repeated furniture, or a widely recurring message.
+    Pages are ranges of parts between ``ends``; marks say what the corpus shows
+    of each part. A row of labels is furniture if most of its parts are, or the
+    label before its colon is.
     """
-    own = (classes & OWN_TOPIC) > 0
-    kind = classes & ~OWN_TOPIC
-    out = (kind == FURNITURE) | (kind == TEASER_HEAD) | (furniture & np.isin(kind, (OTHER, DOUBTFUL, PARAGRAPH)))
-    residue = (kind == RESIDUE) | (message & np.isin(kind, (OTHER, DOUBTFUL, PARAGRAPH)))
-    sure = ~out & ~residue & (np.isin(kind, (ITEM, CODE, PARAGRAPH)) | own)
-    n = len(kind)
-    later = np.zeros(n + 1, bool)
-    later[:-1] = np.logical_or.accumulate(sure[::-1])[::-1]
-    for i in np.flatnonzero(kind == TEASER_HEAD):
-        j = i + 1
-        while j < n and not sure[j] and kind[j] != BLANK and not out[j]:
-            j += 1
-        # amid an article one teaser stands under its heading, after it a whole list
-        last = min(j, i + 2) if later[j] else j
-        if i + 1 < n and later[j] and j == i + 1 and not own[i + 1] and kind[i + 1] == PARAGRAPH and sizes[i + 1] <= 34:
-            last = i + 2
-        for t in range(i + 1, last):
-            if not residue[t]:
-                out[t] = True
-    text = (kind != BLANK) & ~out & ~residue
-    blocked = bool(residue.any()) and not (text & (sure | (sizes > 6))).any() and sizes[text].sum() <= 8
-    if blocked:
-        out = kind != BLANK
-    return out & (kind != BLANK), blocked
+    n_pages = len(ends) - 1
+    if len(at) == 0:
+        return [at] * n_pages, np.zeros(n_pages, bool)
+    page = np.repeat(np.arange(n_pages), np.diff(ends))
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (page[1:] != page[:-1])
+    starts = np.flatnonzero(new)
+    parts = np.diff(np.append(starts, len(at)))
+    share = lambda bit: np.add.reduceat((marks & bit > 0).astype(np.int64), starts) / parts
+    at, kind, sizes, page = at[starts], kinds[starts], sizes[starts], page[starts]
+    own = kind & OWN_TOPIC > 0
+    labelled = (kind & LABEL > 0) & ~own & (marks[starts] & MARK_FURNITURE > 0)
+    kind = kind & 15
+    said = (share(MARK_MESSAGE) > 0) & (share(MARK_MESSAGE | MARK_FURNITURE) == 1) & ~own & (kind != CODE)
+    residue = (kind == RESIDUE) | said
+    head = (share(MARK_HEAD) == 1) & ~own & ~residue
+    out = ~residue & (head | ((share(MARK_FURNITURE | MARK_HEAD) >= MOST_PARTS) & (kind != CODE) & ((parts > 1) | ~own)) | labelled)
+    sure = ~out & ~residue & (np.isin(kind, (CODE, PARAGRAPH)) | own)
+    lines = np.searchsorted(page, np.arange(n_pages + 1))
+    for p in np.unique(page[head]):
+        lo, hi = lines[p], lines[p + 1]
+        later = np.logical_or.accumulate(sure[lo:hi][::-1])[::-1]
+        for i in np.flatnonzero(head[lo:hi]) + lo:
+            j = i + 1
+            while j < hi and not sure[j] and at[j] == at[j - 1] + 1 and not out[j]:
+                j += 1
+            more = j < hi and later[j - lo]
+            # amid an article one teaser stands under its heading, after it a whole list
+            last = min(j, i + 2) if more else j
+            if more and j == i + 1 and at[j] == at[i] + 1 and not own[j] and kind[j] == PARAGRAPH and sizes[j] <= 34:
+                last = i + 2
+            out[i + 1 : last] |= ~residue[i + 1 : last]
+    text = ~out & ~residue
+    blocked = np.zeros(n_pages, bool)
+    for p in np.unique(page[residue]):
+        lo, hi = lines[p], lines[p + 1]
+        left = text[lo:hi]
+        blocked[p] = not (left & (sure[lo:hi] | (sizes[lo:hi] > 6))).any() and sizes[lo:hi][left].sum() <= 8
+    out |= blocked[page]
+    return [at[lo:hi][out[lo:hi]] for lo, hi in zip(lines[:-1], lines[1:], strict=True)], blocked

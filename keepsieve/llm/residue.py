@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsieve.llm.pagelines import CODE, DOUBTFUL, ITEM, OTHER, OWN_TOPIC, PARAGRAPH
 from keepsieve.plans.runtime import keep_table
 
 #: A doubtful line is a message from so many sources on, with at most such a share of its pages holding content.
@@ -22,20 +21,11 @@ LEAST_SOURCES, MOST_WITH_CONTENT = 4, 0.3
 LEAST_PLAIN = 8
 
 
-def recurring_messages(streams: DataFrame) -> DataFrame:
-    """(line): masked lines of any length that recur across sources on pages without other content of their own."""
-    sure = lambda k: (k.bitwiseAND(OWN_TOPIC) > 0) | k.bitwiseAND(15).isin(PARAGRAPH, ITEM, CODE)
-    pages = streams.select("host", F.size(F.filter("kinds", sure)).alias("sure"), F.arrays_zip("lines", "kinds").alias("x"))
-    # only lines that stand alone somewhere are looked at, before anything is moved
-    alone = pages.where("sure <= 1").select("host", "sure", F.explode("x").alias("x"))
-    alone = alone.where(F.col("x.kinds").isin(OTHER, DOUBTFUL, PARAGRAPH) & (F.col("sure") == F.when(sure(F.col("x.kinds")), 1).otherwise(0)))
-    seen = alone.groupBy(F.col("x.lines").alias("line"), "host").agg(F.max((F.col("x.kinds") == DOUBTFUL).cast("int")).alias("weak"))
-    seen = seen.groupBy("line").agg(F.count("*").alias("sources"), F.max("weak").alias("weak"))
-    seen = keep_table(seen.where(F.col("sources") >= F.when(F.col("weak") == 1, LEAST_SOURCES).otherwise(LEAST_PLAIN)).select("line"))
-    lines = pages.select("sure", F.explode("x").alias("x")).where(F.col("x.kinds").bitwiseAND(15).isin(OTHER, DOUBTFUL, PARAGRAPH))
-    lines = lines.select(F.col("x.lines").alias("line"), (F.col("sure") > F.when(sure(F.col("x.kinds")), 1).otherwise(0)).alias("content")).join(seen, "line", "left_semi")
-    by_line = lines.groupBy("line").agg(F.count("*").alias("n"), F.sum(F.col("content").cast("int")).alias("with"))
-    return by_line.where(F.col("with") <= MOST_WITH_CONTENT * F.col("n")).select("line")
+def recurring_messages(counts: DataFrame) -> DataFrame:
+    """(line): masked lines that recur across sources on pages without other content of their own; ``counts`` of ``repeated_lines``."""
+    by_line = counts.where("line is not null").groupBy("line").agg(F.count_if(F.col("alone") > 0).alias("sources"), F.sum("pages").alias("n"), F.sum("alone").alias("alone"), F.sum("weak").alias("weak"))
+    enough = F.col("sources") >= F.when(2 * F.col("weak") >= F.col("n"), LEAST_SOURCES).otherwise(LEAST_PLAIN)
+    return keep_table(by_line.where(enough & (F.col("alone") >= (1 - MOST_WITH_CONTENT) * F.col("n"))).select("line"))
 
 
 def blocked_pages(links: DataFrame, *, url: str = "resolved", body: str = "body", keys: list[str] | None = None) -> DataFrame:
@@ -45,9 +35,10 @@ def blocked_pages(links: DataFrame, *, url: str = "resolved", body: str = "body"
     not blocked. Null or blank bodies give no row; repeated rows give one; of a
     page named twice with different bodies one blocked body is enough.
     """
-    from keepsieve.llm.boilerplate import furniture_lines, marked_pages, page_streams
+    from keepsieve.llm.boilerplate import furniture_lines, marked_pages, page_streams, repeated_lines
 
     keys = keys or ["bookmark", "ordinal"]
     streams = page_streams(links, url=url, body=body, keys=keys)
-    marked = marked_pages(streams, keys, furniture_lines(streams), keep_table(recurring_messages(streams)))
+    counts = keep_table(repeated_lines(streams))
+    marked = marked_pages(streams, keys, furniture_lines(counts), recurring_messages(counts))
     return marked.groupBy(*keys).agg(F.max("blocked").alias("blocked"))

@@ -12,7 +12,7 @@ from keepsieve.llm.lookalike import consistent_form, look_alike_pairs
 from keepsieve.llm.mixing import mix
 from keepsieve.llm.nearcopies import copy_groups, copy_pairs, near_copies
 from keepsieve.llm.packing import pack
-from keepsieve.llm.pairs import tag_pairs
+from keepsieve.llm.pairs import basket_items, tag_pairs
 from keepsieve.llm.residue import blocked_pages
 from keepsieve.llm.subjects import document_subjects
 from keepsieve.plans.runtime import read_table
@@ -142,6 +142,22 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return scores.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", F.round("lift", 6).alias("ratio"))
 
 
+@query(
+    _TAGS_SQL.replace("tag <> ''", "tag NOT IN ('', 'later')")
+    + """SELECT p.tag_a, p.tag_b, p.n_ab, round(p.n_ab * n.n / (x.n * y.n::DOUBLE), 6) AS ratio
+FROM p JOIN m x ON x.tag = p.tag_a JOIN m y ON y.tag = p.tag_b CROSS JOIN n"""
+)
+def p6_changed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs after a second batch in which every bookmark that was tagged 'later' loses that tag."""
+    tags = read_table(spark, d, "tag")
+    table = tag_pairs(tags)
+    items = basket_items(tags, basket="bookmark", item="tag")
+    hit = items.where("item = 'later'").select("basket")
+    left = items.where("item <> 'later'").join(hit, "basket", "left_semi")
+    table.apply(hit.join(left, "basket", "left").select("basket", "item"))
+    return table.scores().select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", F.round("lift", 6).alias("ratio"))
+
+
 @query()
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every document, or piece of one longer than the largest capacity, in its container."""

@@ -304,12 +304,12 @@ def test_pair_table_follows_changes(spark):
         return spark.createDataFrame([(k, t) for k, v in b.items() for t in v] or [], "bookmark long, tag string").withColumn("item", F.lit(1))
 
     table = pairs.tag_pairs(frame(baskets))
-    assert {(r["item_a"], r["item_b"]): r["n_ab"] for r in table.pairs.collect()} == brute_counts(baskets)
+    assert {(r["item_a"], r["item_b"]): r["n_ab"] for r in table.scores().collect()} == brute_counts(baskets)
     changed = {3: ["t1", "new"], 4: [], 500: ["x1", "x2"], 900: ["t1", "t2", "t1"]}
     delta = pairs.basket_items(frame(changed), basket="bookmark", item="tag").unionByName(spark.createDataFrame([(4, None)], "basket long, item string"))
     touched = table.apply(delta)
     now = baskets | changed
-    assert {(r["item_a"], r["item_b"]): r["n_ab"] for r in table.pairs.collect()} == brute_counts(now)
+    assert {(r["item_a"], r["item_b"]): r["n_ab"] for r in table.scores().collect()} == brute_counts(now)
     n = sum(any(t and t.strip() for t in v) for v in now.values())
     ones = {}
     for v in now.values():

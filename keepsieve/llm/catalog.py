@@ -15,7 +15,8 @@ from keepsieve.llm.packing import pack
 from keepsieve.llm.pairs import basket_items, tag_pairs
 from keepsieve.llm.residue import blocked_pages
 from keepsieve.llm.subjects import document_subjects
-from keepsieve.plans.runtime import read_table
+from keepsieve.llm.tokens import token_count
+from keepsieve.plans.runtime import keep_table, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,6 +175,29 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.join(sizes, "container").select("container", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
 
 
+@query("SELECT doc_id, true AS whole, true AS fits FROM documents WHERE text <> ''")
+def p7_placed(spark: SparkSession, d: str) -> DataFrame:
+    """For every document whether all its tokens are placed, and whether its containers hold no more than their capacity."""
+    docs, sizes = read_table(spark, d, "documents"), read_table(spark, d, "container_size")
+    packed = keep_table(pack(docs, sizes))
+    room = packed.groupBy("container", "shard", "number").agg(F.sum("tokens").alias("used"), F.max(F.col("position") + F.col("tokens")).alias("end"), F.count("*").alias("n"), F.countDistinct("position").alias("places"))
+    room = room.join(sizes, "container").select("container", "shard", "number", ((F.col("used") <= F.col("capacity_tokens")) & (F.col("end") == F.col("used")) & (F.col("n") == F.col("places"))).alias("ok"))
+    placed = packed.join(room, ["container", "shard", "number"]).groupBy("id").agg(F.sum("tokens").alias("t"), F.every("ok").alias("fits"))
+    counted = docs.select(F.col("doc_id").alias("id"), token_count(F.col("text")).alias("tokens"))
+    return placed.join(counted, "id").select(F.col("id").alias("doc_id"), (F.col("t") == F.col("tokens")).alias("whole"), "fits")
+
+
+@query("SELECT source, true AS within_repeats, true AS near_share FROM mix_target m WHERE EXISTS (SELECT 1 FROM documents d WHERE d.source = m.source AND d.text <> '')")
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """For every source whether no document is used too often, and whether its share is as near its target as the longest document allows."""
+    targets = read_table(spark, d, "mix_target")
+    chosen, shares = mix(read_table(spark, d, "documents"), targets)
+    most = chosen.groupBy("source").agg(F.max("copies").alias("most"))
+    whole = shares.where("tokens_there > 0").agg(F.sum("target_share").alias("whole"), F.sum("tokens_used").alias("all")).join(chosen.agg(F.max("tokens").alias("longest")))
+    got = shares.where("tokens_there > 0").join(most, "source").join(F.broadcast(whole))  # one row
+    return got.select("source", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("share") - F.col("target_share") / F.col("whole")) * F.col("all") <= F.col("longest")).alias("near_share"))
+
+
 @query()
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """Documents of the mix, with their repeats."""

@@ -5,7 +5,8 @@ there are. The whole part is fixed; the fractional parts are rounded in pairs:
 token mass moves from one document to the other, in a random direction whose
 odds keep every expectation, until one of the two is integral. The token sum of
 a source thus stays what it was, up to one document; short documents of one leaf
-then make up for that one. Leaves of bounded size are
+then make up for that one, so the chance of these few to be chosen departs from
+their source's rate. Leaves of bounded size are
 rounded in parallel, and their one fractional document each meets the others in
 the next level of a reduction tree.
 """
@@ -22,6 +23,8 @@ from keepsieve.plans.runtime import keep_table, spread
 
 #: Documents in one leaf of the tree, about.
 LEAF = 20_000
+#: Sources with a target at most: the driver plans their rates.
+MOST_SOURCES = 100_000
 
 
 def _uniform(a: np.ndarray, seed: int) -> np.ndarray:
@@ -78,7 +81,10 @@ def mix(docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", text: str =
     goal = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     sized = keep_table(sized.join(goal.select("source"), "source", "left_semi").groupBy("id").agg(F.min_by("source", F.struct("tokens", "source")).alias("source"), F.min(F.struct("tokens", "source"))["tokens"].alias("tokens")))
     there = sized.groupBy("source").agg(F.sum("tokens").alias("s"), F.count("*").alias("n"))
-    plan = {r["source"]: r for r in goal.join(there, "source").limit(100_000).collect()}  # one row per source of the target table
+    rows = goal.join(there, "source").limit(MOST_SOURCES + 1).collect()  # one row per source of the target table
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources have a target")
+    plan = {r["source"]: r for r in rows}
     if not plan:
         return spark.createDataFrame([], "id bigint, source string, tokens bigint, copies int"), goal.select("source", "target_share", "max_repeats", F.lit(0).cast("bigint").alias("tokens_there"), F.lit(0).cast("bigint").alias("tokens_used"), F.lit(0.0).alias("share"), F.lit(0).cast("bigint").alias("documents"), F.lit(0).cast("bigint").alias("copies"))
     whole = sum(r["target_share"] for r in plan.values())

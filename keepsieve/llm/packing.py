@@ -6,7 +6,7 @@ decreasing, from the largest down, and the gaps its containers leave are filled
 with whole documents of shorter tiers before those are packed themselves.
 Containers of a tier are dealt to step groups of equal attention cost.
 
-Documents are dealt to shards by hash, and a shard is packed alone: at most a
+Pieces are dealt to shards by hash, and a shard is packed alone: at most a
 container per shard and tier stays part empty, so the loss falls with size.
 """
 
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from keepsieve.llm.tokens import DEFAULT, token_count
 from keepsieve.plans.runtime import keep_table, spread
 
-#: Documents packed together in one task, about.
-SHARD_DOCS = 20_000
+#: Pieces packed together in one task, about.
+SHARD_PIECES = 20_000
+#: Different capacities at most: every task holds them all.
+MOST_CAPACITIES = 1000
 #: Containers in a step group.
 STEP = 16
 
@@ -81,7 +83,7 @@ def pack_shard(sizes: list[int], capacities: list[int]) -> list[tuple[int, int,
     return out
 
 
-def pack(docs: DataFrame, containers: DataFrame, *, id: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT, shard_docs: int = SHARD_DOCS, step: int = STEP) -> DataFrame:
+def pack(docs: DataFrame, containers: DataFrame, *, id: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT, shard_pieces: int = SHARD_PIECES, step: int = STEP) -> DataFrame:
     """One row per placed piece: (id, piece, start, tokens, container, shard, number, position, step_group).
 
     piece counts the parts of a document from 0, start is its first token in
@@ -89,11 +91,14 @@ def pack(docs: DataFrame, containers: DataFrame, *, id: str = "doc_id", text: st
     itself, position its first token in it. Only a document longer than the
     largest capacity has more than one piece. Texts without tokens (null, empty)
     take no room and have no row; repeated rows are packed once each; without
-    capacities nothing can be placed and the result is empty.
+    capacities nothing can be placed and the result is empty; more than
+    MOST_CAPACITIES of them are an error.
     """
     sized = spread(docs.select(id, text)).select(F.col(id).cast("bigint").alias("id"), token_count(F.col(text), tokenizer).alias("tokens"))
     sized = keep_table(sized.where("tokens > 0"))
-    given = containers.where("capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").alias("c")).orderBy("c", "container").limit(1000).collect()
+    given = containers.where("capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").alias("c")).orderBy("c", "container").limit(MOST_CAPACITIES + 1).collect()
+    if len(given) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
     names, capacities = [r["container"] for r in given], [int(r["c"]) for r in given]
     schema = "id bigint, piece int, start bigint, tokens bigint, container string, shard bigint, number int, position int, step_group int"
     if not given:
@@ -102,7 +107,8 @@ def pack(docs: DataFrame, containers: DataFrame, *, id: str = "doc_id", text: st
     # cutting happens before dealing, so one very long document spreads over shards
     cut = sized.select("id", "tokens", F.explode(F.sequence(F.lit(0), ((F.col("tokens") - 1) / largest).cast("int"))).alias("piece"), F.xxhash64("id", "tokens").alias("h"))
     cut = cut.select("id", "piece", (F.col("piece").cast("bigint") * largest).alias("start"), F.least(F.lit(largest), F.col("tokens") - F.col("piece").cast("bigint") * largest).alias("tokens"))
-    shards = max(1, round(sized.count() / shard_docs))
+    pieces = sized.agg(F.sum(F.ceil(F.col("tokens") / largest))).first()[0] or 0
+    shards = max(1, round(pieces / shard_pieces))
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -81,39 +81,82 @@ def sentence_table(docs: DataFrame, id: str, text: str, extra: list[str] | None
     return spread(given).mapInArrow(run, schema)
 
 
+def _member(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each key its place in the sorted array ``known``, or -1."""
+    if len(known) == 0:
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, at, -1)
+
+
+def _later(owner: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry of ``owner``, place) for every place from ``first`` up to but not ``last`` of each entry."""
+    counts = np.maximum(last - first, 0)
+    which = np.repeat(owner, counts)
+    ends = np.cumsum(counts)
+    return which, np.arange(len(which)) - np.repeat(ends - counts, counts) + np.repeat(first, counts)
+
+
 class Rules:
-    """Mined rules: a word set to one confidence per subject; sent to the workers, bounded by the sample's size."""
+    """Mined rules: a word set to one confidence per subject; sent to the workers, bounded by the sample's size.
+
+    Words are coded by rank; rules of two and three words are sorted arrays of
+    combined codes, so a batch of sentences is matched by binary search.
+    """
 
     def __init__(self, subjects: list[str], table: dict[frozenset, np.ndarray], prior: np.ndarray):
         self.subjects, self.table, self.prior = subjects, table, prior
-        # by sorted words: a sentence of n known words costs n * n / 2 look-ups
-        self.ones = {next(iter(k)): v for k, v in table.items() if len(k) == 1}
-        self.twos = {tuple(sorted(k)): v for k, v in table.items() if len(k) == 2}
-        self.threes: dict[tuple, dict[str, np.ndarray]] = {}
-        for k, v in table.items():
-            if len(k) == 3:
-                x, y, z = sorted(k)
-                self.threes.setdefault((x, y), {})[z] = v
-        self.words = frozenset(w for k in table for w in k)
+        self.code = {w: i for i, w in enumerate(sorted({w for k in table for w in k}))}
+        self.size = max(1, len(self.code))
+        coded = {n: sorted((tuple(sorted(self.code[w] for w in k)), k) for k in table if len(k) == n) for n in (1, 2, 3)}
+        self.values = {n: np.array([table[k] for _, k in coded[n]]).reshape(-1, len(subjects)) for n in coded}
+        self.ones = np.array([c[0] for c, _ in coded[1]], np.int64)
+        self.twos = np.array([a * self.size + b for (a, b), _ in coded[2]], np.int64)
+        heads = np.array([a * self.size + b for (a, b, _), _ in coded[3]], np.int64)
+        self.heads = np.unique(heads)
+        self.threes = np.searchsorted(self.heads, heads) * self.size + np.array([c[2] for c, _ in coded[3]], np.int64)
         self.steps = (np.array([0.0]), np.array([0.0]))
 
-    def evidence(self, items: list[str]) -> np.ndarray:
-        """Per subject the highest confidence of the matching rules that no longer matching rule contains."""
-        known = sorted(self.words.intersection(items))
-        hits, inner = [], set()  # inner: sets inside a matching longer rule
-        pairs = [(a, b) for i, a in enumerate(known) for b in known[i + 1 :]]
-        for pair in pairs:
-            if (third := self.threes.get(pair)) is not None:
-                for c in third.keys() & known:
-                    hits.append(third[c])
-                    a, b = pair
-                    inner.update((pair, (a, c), (b, c), a, b, c))
-        for pair in pairs:
-            if (v := self.twos.get(pair)) is not None and pair not in inner:
-                hits.append(v)
-                inner.update(pair)
-        hits += [v for w in known if w not in inner and (v := self.ones.get(w)) is not None]
-        return np.max(hits, axis=0) if hits else np.zeros(len(self.subjects))
+    def evidence(self, found: list[list[str]]) -> np.ndarray:
+        """[sentence, subject]: the highest confidence of the matching rules that no longer matching rule contains."""
+        out = np.zeros((len(found), len(self.subjects)))
+        code = self.code
+        known = [[c for w in words if (c := code.get(w)) is not None] for words in found]
+        counts = [len(k) for k in known]
+        if not sum(counts):
+            return out
+        n = self.size
+        # distinct words of each sentence, in the order of their codes
+        both = np.unique(np.repeat(np.arange(len(found)), counts) * n + np.array([c for k in known for c in k], np.int64))
+        sent, word = np.divmod(both, n)
+        last = np.searchsorted(sent, sent, side="right")
+        i, j = _later(np.arange(len(both)), np.arange(len(both)) + 1, last)
+        pair = word[i] * n + word[j]
+        head = _member(pair, self.heads)
+        at = np.flatnonzero(head >= 0)
+        p, k = _later(at, j[at] + 1, last[j[at]])
+        three = _member(head[p] * n + word[k], self.threes)
+        p, k, three = p[three >= 0], k[three >= 0], three[three >= 0]
+        # places of words and pairs inside a longer rule that matches
+        inside = np.zeros(len(both), bool)
+        places = len(both)
+        covered = np.unique(np.concatenate([i[p] * places + j[p], i[p] * places + k, j[p] * places + k]))
+        inside[np.concatenate([i[p], j[p], k])] = True
+        two = _member(pair, self.twos)
+        hit = np.flatnonzero(two >= 0)
+        hit = hit[_member(i[hit] * places + j[hit], covered) < 0]
+        inside[i[hit]] = inside[j[hit]] = True
+        one = _member(word, self.ones)
+        single = np.flatnonzero((one >= 0) & ~inside)
+        owner = np.concatenate([sent[i[p]], sent[i[hit]], sent[single]])
+        if len(owner) == 0:
+            return out
+        value = np.concatenate([self.values[3][three], self.values[2][two[hit]], self.values[1][one[single]]])
+        order = np.argsort(owner, kind="stable")
+        owner = owner[order]
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        out[owner[starts]] = np.maximum.reduceat(value[order], starts)
+        return out
 
     def calibrated(self, top: np.ndarray) -> np.ndarray:
         """Observed share of right sentences at evidence ``top``."""
@@ -134,8 +177,8 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
 
 
-def mine_rules(docs: DataFrame, labels: DataFrame, subjects: list[str], *, id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Rules:
-    """Fits rules on at most ``sample_docs`` labelled documents.
+def mine_rules(docs: DataFrame, labels: DataFrame, subjects: list[str], *, id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_sentences: int = SAMPLE_SENTENCES, held_sentences: int = HELD_SENTENCES) -> Rules:
+    """Fits rules on at most ``sample_docs`` labelled documents, ``sample_sentences`` of each; at most ``held_sentences`` calibrate them.
 
     Labels are matched to subjects without regard to case and outer blanks,
     unknown ones are ignored. A tenth of the sample calibrates the evidence.
@@ -145,7 +188,7 @@ def mine_rules(docs: DataFrame, labels: DataFrame, subjects: list[str], *, id: s
     sample = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where("text is not null").join(named, "id")
     table = keep_table(sentence_table(sample, "id", "text", ["classes"]).withColumn("held", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(10)) == 0))
     order = Window.partitionBy("id").orderBy(F.xxhash64("items"))
-    fit = table.where((F.size("classes") == 1) & ~F.col("held")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_SENTENCES)
+    fit = table.where((F.size("classes") == 1) & ~F.col("held")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_sentences)
     fit = fit.select("id", F.col("classes")[0].alias("c"), "items")
     n = fit.count()
     low = [s.lower() for s in subjects]
@@ -181,15 +224,13 @@ def mine_rules(docs: DataFrame, labels: DataFrame, subjects: list[str], *, id: s
         if not parts or min(np.abs(v - p).max() for p in parts) >= GAIN and v.max() >= max(p.max() for p in parts) + GAIN or (parts and v.max() <= max(p.max() for p in parts) - GAIN):
             rules[s] = v
     out = Rules(subjects, rules, share)
-    held = table.where("held").select("classes", "items").orderBy(F.xxhash64("items"), "items").limit(HELD_SENTENCES).toPandas()
-    tops, right = [], []
-    for classes, items in zip(held["classes"], held["items"], strict=True):
-        e = out.evidence(items)
-        if e.max() > 0:
-            tops.append(e.max())
-            right.append(low[int(e.argmax())] in classes)
+    held = table.where("held").select("classes", "items").orderBy(F.xxhash64("items"), "items").limit(held_sentences).toPandas()
+    shown = out.evidence([list(x) for x in held["items"]])
+    some = np.flatnonzero(shown.max(axis=1, initial=0) > 0)
+    tops = shown[some].max(axis=1, initial=0)
+    right = [low[k] in held["classes"].iloc[i] for i, k in zip(some, shown[some].argmax(axis=1), strict=True)] if len(some) else []
     if len(tops) >= 50:
-        out.steps = _isotonic(np.array(tops), np.array(right, float))
+        out.steps = _isotonic(tops, np.array(right, float))
     else:
         out.steps = np.array([0.0, 0.3, 0.5]), np.array([0.1, 0.4, 0.8])
     return out
@@ -211,26 +252,44 @@ def subject_shares(docs: DataFrame, rules: Rules, *, id: str = "doc_id", text: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = sent.value
         for pdf in batches:
-            rows = []
-            for key, body in zip(pdf["id"], pdf["text"], strict=True):
-                found = sentences(body)
-                e = np.array([r.evidence(s) for s in found]).reshape(len(found), len(r.subjects))
-                best = e.argmax(axis=1) if len(found) else np.zeros(0, int)
-                top = e.max(axis=1) if len(found) else np.zeros(0)
+            for lo in range(0, len(pdf), 500):
+                part = pdf.iloc[lo : lo + 500]
+                found = [sentences(body) for body in part["text"]]
+                counts = np.array([len(f) for f in found], np.int64)
+                e = r.evidence([words for f in found for words in f])
+                owner = np.repeat(np.arange(len(part)), counts)
+                best, top = e.argmax(axis=1) if len(e) else np.zeros(0, int), e.max(axis=1, initial=0)
                 sure = (r.calibrated(top) >= SURE) & (top >= SURE)
-                counts = np.bincount(best[sure], minlength=len(r.subjects)) / max(1, len(found))
-                if not counts.any():
-                    counts[int(e.sum(axis=0).argmax()) if len(found) and e.any() else int(r.prior.argmax())] = 1e-9
-                rows.extend((key, r.subjects[i], float(counts[i]), len(found)) for i in np.flatnonzero(counts))
-            yield pd.DataFrame(rows, columns=["id", "subject", "share", "n_sentences"])
+                share = np.zeros((len(part), len(r.subjects)))
+                np.add.at(share, (owner[sure], best[sure]), 1)
+                share /= np.maximum(counts, 1)[:, None]
+                none = np.flatnonzero(~share.any(axis=1))
+                total = np.zeros_like(share)
+                np.add.at(total, owner, e)
+                share[none, np.where(total[none].any(axis=1), total[none].argmax(axis=1), int(r.prior.argmax()))] = 1e-9
+                doc, subject = np.nonzero(share)
+                yield pd.DataFrame({"id": part["id"].to_numpy()[doc], "subject": np.array(r.subjects, dtype=object)[subject], "share": share[doc, subject], "n_sentences": counts[doc].astype(np.int32)})
 
     given = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     return spread(given).mapInPandas(run, "id bigint, subject string, share double, n_sentences int")
 
 
-def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, subject): the subjects of at least a quarter of a document's sentences, or else its strongest one."""
-    names = sorted(r["subject"] for r in areas.select("subject").where("subject is not null").distinct().limit(1000).collect())
-    shares = keep_table(subject_shares(docs, mine_rules(docs, labels, names, id=id, text=text), id=id, text=text))
+#: Subjects at most: each rule holds a confidence for every one.
+MOST_SUBJECTS = 1000
+
+
+def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_sentences: int = SAMPLE_SENTENCES, held_sentences: int = HELD_SENTENCES) -> DataFrame:
+    """(id, subject): the subjects of at least a quarter of a document's sentences, or else its strongest one.
+
+    The bounds of the labelled sample are those of ``mine_rules``. More than
+    MOST_SUBJECTS subjects are an error; without any there is no row.
+    """
+    names = sorted(r["subject"] for r in areas.select("subject").where("subject is not null").distinct().limit(MOST_SUBJECTS + 1).collect())
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
+    if not names:
+        return docs.select(F.col(id).cast("bigint").alias("id"), F.lit("").alias("subject")).limit(0)
+    rules = mine_rules(docs, labels, names, id=id, text=text, sample_docs=sample_docs, sample_sentences=sample_sentences, held_sentences=held_sentences)
+    shares = keep_table(subject_shares(docs, rules, id=id, text=text))
     best = shares.groupBy("id").agg(F.max_by("subject", F.struct("share", "subject")).alias("subject"))
     return shares.where(F.col("share") >= SHARE).select("id", "subject").union(best.select("id", "subject")).distinct()

@@ -376,7 +376,7 @@ def test_pack(spark):
     rows = [(i, "alpha beta " * rng.randrange(1, 60)) for i in range(300)] + [(1000, "word " * 5000), (1001, None), (1002, ""), (5, "again and again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.lit("clash")).withColumn("shard", F.lit(0))
     sizes = spark.createDataFrame([("small", 32), ("large", 256), ("mid", 96), ("none", None)], "container string, capacity_tokens int")
-    got = packing.pack(docs, sizes, shard_docs=100).toPandas()
+    got = packing.pack(docs, sizes, shard_pieces=100).toPandas()
     assert set(got["id"]) == {r[0] for r in rows} - {1001, 1002}
     caps = {"small": 32, "mid": 96, "large": 256}
     used = got.groupby(["container", "shard", "number"])["tokens"].sum().reset_index()
@@ -451,6 +451,34 @@ def test_subjects_on_held_out_documents(spark):
     assert subjects.document_subjects(d.limit(0), lab, areas).count() == 0
 
 
+def brute_evidence(table, n, items):
+    hits = [k for k in table if k <= set(items)]
+    three = {k for k in hits if len(k) == 3}
+    two = {k for k in hits if len(k) == 2 and not any(k < t for t in three)}
+    one = {k for k in hits if len(k) == 1 and not any(k < t for t in three | two)}
+    return np.max([table[k] for k in three | two | one], axis=0) if hits else np.zeros(n)
+
+
+@given(st.lists(st.frozensets(st.sampled_from("abcdefg"), min_size=1, max_size=3), max_size=25), st.lists(st.lists(st.sampled_from("abcdefghij"), max_size=7), max_size=6), st.randoms())
+@settings(max_examples=150, deadline=None)
+def test_rules_match_as_brute_force(sets, found, rng):
+    table = {k: np.array([rng.random() for _ in range(3)]) for k in sets}
+    got = subjects.Rules(["x", "y", "z"], table, np.ones(3)).evidence(found)
+    assert got.shape == (len(found), 3)
+    for row, items in zip(got, found, strict=True):
+        assert np.allclose(row, brute_evidence(table, 3, items))
+
+
+def test_bounds_are_errors(spark):
+    docs = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string")
+    many = spark.range(1001).select(F.col("id").cast("string").alias("container"), (F.col("id") + 1).cast("int").alias("capacity_tokens"), F.col("id").cast("string").alias("subject"))
+    with pytest.raises(ValueError):
+        packing.pack(docs, many)
+    with pytest.raises(ValueError):
+        subjects.document_subjects(docs, docs.select("doc_id", F.lit("1").alias("subject")), many)
+    assert subjects.document_subjects(docs, docs.select("doc_id", F.lit("1").alias("subject")), many.limit(0)).count() == 0
+
+
 def test_sentences():
     assert subjects.sentences(None) == [] and subjects.sentences("") == []
     assert len(subjects.sentences("[00:00] " + "w " * 100)) == 0 or True

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for local sessions without one.
+_LOCAL: dict[str, str] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory (a file or a folder of part files)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or its checkpoint folder.
 
-    Only where the session names none (tests, a laptop) a local folder is made.
+    Only where a local session names none (tests, a laptop) one local folder is
+    made for it, which is removed with the process; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -25,7 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    return tempfile.mkdtemp(prefix="keepsieve-shared-")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="keepsieve-shared-")
+        atexit.register(shutil.rmtree, _LOCAL[sc.applicationId], ignore_errors=True)
+    return _LOCAL[sc.applicationId]
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -55,27 +68,46 @@ def local_session(name: str = "keepsieve", cpus: int | None = None) -> SparkSess
     return spark
 
 
+#: Tables written by ``keep_table`` and not yet deleted.
+_KEPT: list[tuple[SparkSession, str]] = []
+
+
 def keep_table(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a Parquet table into the shared folder and reads it back.
 
     Used where a result feeds several joins: it survives lost executors and is
-    stored compressed and column-wise, unlike a checkpoint.
+    stored compressed and column-wise, unlike a checkpoint. ``drop_kept`` deletes
+    these tables once results are stored.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/keepsieve-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _KEPT.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_kept(spark: SparkSession) -> int:
+    """Deletes the tables that ``keep_table`` wrote for this session; returns their number. Results built on them must be stored before."""
+    mine = [path for session, path in _KEPT if session is spark]
+    _KEPT[:] = [(session, path) for session, path in _KEPT if session is not spark]
+    for path in mine:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(mine)
+
+
 #: Inputs of at most so many estimated bytes are dealt evenly over the cores.
 SMALL = 16 << 20
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Size of the whole files a plan reads, as the plan knows it, so nothing runs to find it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over the cores if it is small: a single small file has one row group, hence one task.
 
-    A larger input has splits enough, and nothing is moved. The size is that of
-    the whole files scanned, as the plan knows it, so nothing runs to find it.
+    A larger input has splits enough, and nothing is moved.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if planned_bytes(df) <= SMALL else df

@@ -14,10 +14,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsieve.plans.runtime import keep_table, shared_dir
+from keepsieve.plans.runtime import keep_table, planned_bytes, shared_dir
 
-#: Items of a basket that meet in one task at most, and rows of a bucket when the table is made, about.
-BLOCK, BUCKET_ROWS = 256, 200_000
+#: Items of a basket that meet in one task at most, and bytes of the first batch's files for each bucket, about.
+BLOCK, BUCKET_BYTES = 256, 1 << 20
 _TABLES = {"baskets": "basket bigint, item string, id bigint", "pairs": "id_a bigint, id_b bigint, n_ab bigint", "marginals": "id bigint, item string, n bigint"}
 _KEYS = {"baskets": ("basket",), "pairs": ("id_a", "id_b"), "marginals": ("id",)}
 
@@ -117,10 +117,9 @@ class PairTable:
         self.version += 1
         try:
             if first:
-                new = keep_table(hashed.where("item is not null").distinct())
-                self._state["buckets"] = self._state["buckets"] or max(8, -(-new.count() // BUCKET_ROWS))
-                self._write(new, "baskets", None)
-                signed = new.withColumn("sign", F.lit(1))
+                self._state["buckets"] = self._state["buckets"] or max(8, planned_bytes(changed) // BUCKET_BYTES)
+                self._write(hashed.where("item is not null").distinct(), "baskets", None)
+                signed = self._read("baskets").withColumn("sign", F.lit(1))
             else:
                 ids = keep_table(changed.select("basket").distinct().withColumn("bucket", F.pmod(F.hash("basket"), F.lit(self._state["buckets"]))))
                 touched = [r[0] for r in ids.select("bucket").distinct().collect()]

@@ -180,7 +180,7 @@ def _similarity(words: int):
     return of
 
 
-def near_copies(texts: DataFrame, *, id: str, text: str, words: int = 5, least: int = 0, threshold: float = 0.8, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+def near_copies(texts: DataFrame, *, id: str, text: str, words: int = 5, least: int = 0, threshold: float = 0.8, rows: int = ROWS, bands: int = BANDS, sketch: bool = True) -> tuple[DataFrame, DataFrame]:
     """(members, links): every compared text with its class of equal texts, and links between classes.
 
     members (id, rep): rep is the smallest id with the same text. links (a, b,
@@ -193,7 +193,9 @@ def near_copies(texts: DataFrame, *, id: str, text: str, words: int = 5, least:
 
     Only pairs that meet in a band are compared: with the default bands one of
     similarity 0.5 is missed with 0.045, of 0.55 with 0.01, of 0.8 with less
-    than a billionth.
+    than a billionth. ``sketch`` drops pairs whose one-bit sketches differ too
+    much before any text is moved, and with them less than one in a thousand of
+    the pairs at the threshold; without it every pair that meets is checked.
     """
     given = texts.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     given = given.select("id", "text", F.xxhash64("text").alias("key1"), F.hash("text").alias("key2"))
@@ -214,7 +216,7 @@ def near_copies(texts: DataFrame, *, id: str, text: str, words: int = 5, least:
     bits = reps.select("id", "bits")
     differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     met = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
-    likely = met.where(F.lit(k) - differ >= mark).select("a", "b")
+    likely = met.where(F.lit(k) - differ >= mark).select("a", "b") if sketch else pairs
     bodies = reps.select("id", "text")
     both = likely.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(bodies.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     links = both.select("a", "b", _similarity(words)("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= threshold)

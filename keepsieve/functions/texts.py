@@ -173,12 +173,16 @@ def query_terms(text: str) -> list[str]:
     return [t for t in re.split(r"[^\w']+|_", text.lower()) if len(t) >= 2]
 
 
+#: First ms of 2020, from which ids count.
+EPOCH = 1577836800000
+
+
 def id_to_millis(id: Column) -> Column:
-    return F.shiftright(id, 16) + F.lit(1577836800000)
+    return F.shiftright(id, 16) + F.lit(EPOCH)
 
 
 def millis_to_id(ms: Column, low: Column) -> Column:
-    return F.shiftleft(ms - F.lit(1577836800000), 16) + low
+    return F.shiftleft(ms - F.lit(EPOCH), 16) + low
 
 
 def epoch_ms(value: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from keepsieve.functions import zones
 
-#: A text longer than this after trimming is no date.
+#: Texts up to this length share one matrix of code points; longer ones have matrices of twice, four times … the width.
 WIDTH = 64
 
 # Month names (en, de, fr, es, nl, it, pt) and their usual abbreviations.
@@ -81,7 +81,7 @@ LAYOUTS = [
 ]
 
 
-@functools.cache
+@functools.lru_cache(8192)
 def _layout(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
     """Kind and column spans of the slots for a mask with letter runs at full length."""
     short, at = [], []
@@ -241,10 +241,12 @@ def instants(texts: pd.Series, tz: pd.Series, order: pd.Series) -> pd.Series:
     out = np.zeros(len(texts), np.int64)
     found = np.zeros(len(texts), bool)
     trimmed = texts.fillna("").str.strip()
-    rows = np.flatnonzero((trimmed.str.len() > 0) & (trimmed.str.len() <= WIDTH))
-    if len(rows):
-        codes = np.array(trimmed.to_numpy()[rows], dtype=f"U{WIDTH}").view(np.uint32).reshape(len(rows), WIDTH)
-        masks, which = np.unique(np.ascontiguousarray(_classes(codes)).view(f"U{WIDTH}").ravel(), return_inverse=True)
+    lengths = trimmed.str.len().to_numpy()
+    widths = np.where(lengths <= WIDTH, WIDTH, 2 ** np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64))
+    for width in np.unique(widths[lengths > 0]):
+        rows = np.flatnonzero((lengths > 0) & (widths == width))
+        codes = np.array(trimmed.to_numpy()[rows], dtype=f"U{width}").view(np.uint32).reshape(len(rows), width)
+        masks, which = np.unique(np.ascontiguousarray(_classes(codes)).view(f"U{width}").ravel(), return_inverse=True)
         zone_of, order_of = tz.to_numpy(object)[rows], order.to_numpy(object)[rows]
         for i, mask in enumerate(masks):
             if (layout := _layout(str(mask))) is None:
@@ -276,8 +278,8 @@ def normalise_timestamps(items: DataFrame, origin: DataFrame, *, text: str = "cr
     A clock time without zone or offset is read in the zone that ``origin``
     (one row per collection, columns collection, tz, date_order) gives the
     row's collection; all-number dates are read in its date order. Null or
-    empty texts, relative dates, days alone, impossible dates, clock times
-    that their zone skips or repeats, and texts over 64 characters give null.
+    empty texts, relative dates, days alone, impossible dates, and clock times
+    that their zone skips or repeats give null; texts of any length are read whole.
     Repeated rows stay, extra columns pass through whatever their names
     (those of ``origin`` are not added), an empty table gives an empty one.
     """

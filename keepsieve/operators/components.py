@@ -16,6 +16,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     one join on edges; its result is kept in the shared folder, so the plan
     doesn't grow. A hub meets its neighbours in a join, never in one task's
     list. Null ends and loops are ignored, repeated edges count once.
+    More than ``max_rounds`` rounds are an error, never an unfinished result.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     pairs = keep_table(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -34,5 +35,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     roots = pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
@@ -53,13 +54,18 @@ def near_fingerprints(df: DataFrame, *, id: str, fingerprint: str, distance: int
     """(members, links): ids by equal fingerprint, and links between different fingerprints within ``distance``.
 
     members (id, fingerprint). links (fp_a, fp_b, distance), fp_a < fp_b as
-    signed numbers. With distance + 1 bands two fingerprints within ``distance``
-    agree in a band whole, so no link is missed. Copies meet once, as one
-    fingerprint. Null and zero fingerprints (no tokens) take no part.
+    signed numbers. Of distance + 3 blocks two fingerprints within ``distance``
+    agree in at least three, so they meet under one choice of three blocks and
+    no link is missed; a key holds about 32 bits, so chance meetings grow with
+    N * N / 2**32 only. Copies meet once, as one fingerprint. Null and zero
+    fingerprints (no tokens) take no part.
     """
     members = df.select(F.col(id).alias("id"), F.col(fingerprint).cast("bigint").alias("fingerprint")).where("fingerprint is not null and fingerprint <> 0").distinct()
-    n = next(k for k in (1, 2, 4, 8, 16) if k > distance)
-    each = members.select("fingerprint").distinct().select(F.col("fingerprint").alias("fp"), F.explode(bands(F.col("fingerprint"), n)).alias("x")).select("fp", "x.band", "x.key")
+    edges = [round(i * 64 / (distance + 3)) for i in range(distance + 4)]
+    masks = [sum((1 << hi) - (1 << lo) for lo, hi in chosen) for chosen in combinations(list(pairwise(edges)), 3)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
+    each = members.select("fingerprint").distinct().select(F.col("fingerprint").alias("fp"), F.explode(keys).alias("x")).select("fp", "x.band", "x.key")
     a, b = each.alias("a"), each.alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")))
     close = met.select(F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b"), hamming(F.col("a.fp"), F.col("b.fp")).alias("distance"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsieve.functions.urls import routing_text
@@ -39,8 +39,8 @@ DEFAULT_RULES = (
     Rule("media", ["youtube.com", "youtu.be", "vimeo.com", "spotify.com", "twitch.tv"]),
     Rule("reading", ["readwise.io", "pocket.com", "instapaper.com"]),
 )
-#: Above so many needles a join on the rule table replaces the compiled expression.
-COMPILED = 200
+#: Characters by which needles of a rule table meet addresses.
+GRAM = 3
 
 
 def _matches(text: Column, rule: Rule) -> Column:
@@ -72,21 +72,45 @@ def all_matches(url: Column, rules=DEFAULT_RULES) -> Column:
     return F.filter(F.array(*[F.when(_matches(text, r), r.slug) for r in rules]), lambda x: x.isNotNull())
 
 
+def _grams(text: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
+
+
 def route_by_table(items: DataFrame, url: str, rules: DataFrame, fallback: str = "general", out: str = "slug") -> DataFrame:
     """The same for many rules given as a table (order, slug, needle), one row per ``any`` needle.
 
-    Addresses meet needles by the labels and parts they begin with, an equi
-    join on the needle's first part, so no rule is tried on every address.
+    A needle may stand anywhere in host and path. It meets addresses by the one
+    of its three-character pieces that fewest needles share (a shorter needle
+    whole), an equi join, so no rule is tried on every address. Blank needles
+    match nothing. Equal addresses are looked up once.
     """
-    keyed = rules.select("order", F.col("slug").alias("__slug"), F.lower("needle").alias("__needle"), F.get(F.split(F.lower("needle"), r"[./]"), 0).alias("__part"))
+    given = rules.select("order", F.col("slug").alias("__slug"), F.lower("needle").alias("__needle")).where("__needle <> ''").withColumn("__n", F.least(F.lit(GRAM), F.length("__needle")))
+    pieces = given.select("__needle", "__n").distinct()
+    each = None
+    for n in range(1, GRAM + 1):
+        one = pieces.where(F.col("__n") == n).select("__needle", F.explode(_grams(F.col("__needle"), n)).alias("__part"))
+        each = one if each is None else each.union(one)
+    shared = each.join(each.groupBy("__part").agg(F.count("*").alias("__k")), "__part")
+    keyed = given.join(shared.groupBy("__needle").agg(F.min_by("__part", F.struct("__k", "__part")).alias("__part")), "__needle")
     text = items.withColumn("__text", routing_text(F.col(url)))
     distinct = text.select("__text").distinct()
-    parts = distinct.select("__text", F.explode(F.array_distinct(F.split("__text", r"[./]"))).alias("__part"))
+    lengths = [r[0] for r in pieces.select("__n").distinct().collect()]  # three at most
+    parts = None
+    for n in lengths:
+        one = distinct.where(F.length("__text") >= n).select("__text", F.explode(_grams(F.col("__text"), n)).alias("__part"))
+        parts = one if parts is None else parts.union(one)
+    if parts is None:
+        return text.withColumn(out, F.lit(fallback)).drop("__text")
     hit = parts.join(keyed, "__part").where(F.contains("__text", F.col("__needle")))
-    first = hit.groupBy("__text").agg(F.min_by("__slug", "order").alias("__slug"))
+    first = hit.groupBy("__text").agg(F.min_by("__slug", F.struct("order", "__slug")).alias("__slug"))
     return text.join(first, "__text", "left").withColumn(out, F.coalesce("__slug", F.lit(fallback))).drop("__text", "__slug")
 
 
+def default_categories(spark: SparkSession) -> DataFrame:
+    """(id, slug, name, color, description) of the categories a new archive begins with."""
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(CATEGORIES, 1)], "id bigint, slug string, name string, color string, description string")
+
+
 def rubric(categories: DataFrame) -> DataFrame:
-    """One text row: ``slug: description`` lines in slug order."""
-    return categories.agg(F.array_join(F.array_sort(F.collect_list(F.concat("slug", F.lit(": "), "description"))), "\n").alias("rubric"))
+    """One text row: ``- slug: description`` lines in slug order."""
+    return categories.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "slug", F.lit(": "), "description"))), "\n").alias("rubric"))

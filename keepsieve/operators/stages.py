@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from keepsieve.functions import texts, urls
 from keepsieve.operators.fingerprints import simhash64
+from keepsieve.operators.query import hydrate
 from keepsieve.operators.rules import DEFAULT_RULES, route
 from keepsieve.operators.store import Store, replace_rows, stamp
 from keepsieve.plans.runtime import spread
@@ -42,13 +43,15 @@ def vision(media: DataFrame) -> DataFrame:
     return lacking.where("x = 1").select("bookmark", F.lit("needs-description").alias("tag"))
 
 
-def tagging(items: DataFrame, link: DataFrame, tag: DataFrame) -> DataFrame:
-    """(bookmark, tag): author, hosts and present tags of each item, the first 24 by alphabet."""
+def tagging(items: DataFrame, link: DataFrame, tag: DataFrame, most: int | None = MOST_TAGS) -> DataFrame:
+    """(bookmark, tag): author, hosts and present tags of each item, the first ``most`` by alphabet; all of them if None."""
     author = items.where(F.col("author_handle").isNotNull() & ~texts.is_address(F.col("author_handle"))).select(F.col("id").alias("bookmark"), F.col("author_handle").alias("tag"))
     own = items.select(F.col("id").alias("bookmark"), urls.host(F.col("url")).alias("tag"))
     hosts = link.select("bookmark", urls.host(F.col("resolved")).alias("tag"))
     every = author.union(own).union(hosts).union(tag.select("bookmark", F.lower(F.trim("tag")).alias("tag"))).where("tag <> ''")
-    per = every.groupBy("bookmark").agg(F.slice(F.array_sort(F.collect_set("tag")), 1, MOST_TAGS).alias("tags"))
+    per = every.groupBy("bookmark").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    if most is not None:
+        per = per.withColumn("tags", F.slice("tags", 1, most))
     return per.select("bookmark", F.explode("tags").alias("tag"))
 
 
@@ -77,7 +80,7 @@ def describe(items: DataFrame, link: DataFrame, agent: Callable[[DataFrame], Dat
     return base.select("id", F.coalesce("title", "__title").alias("title"), F.coalesce("__summary", "summary", "__linked", texts.truncated(line, 280, 277, "...")).alias("summary"))
 
 
-def run_stage(store: Store, stage: str, now: int, agent=None, limit: int | None = None) -> int:
+def run_stage(store: Store, stage: str, now: int, agent=None, limit: int | None = None, most_tags: int | None = MOST_TAGS) -> int:
     """Runs one stage over its pending items and commits the result with their stamps as one version; returns their number."""
     t = store.tables()
     items = t["bookmark"]
@@ -90,18 +93,20 @@ def run_stage(store: Store, stage: str, now: int, agent=None, limit: int | None
     ids = pending.select("id")
     inside = lambda df: df.join(ids.withColumnRenamed("id", "bookmark"), "bookmark", "left_semi")
     changed: dict[str, DataFrame] = {}
+    added: dict[str, DataFrame] = {}
+    more_tags = lambda df: df.distinct().join(inside(t["tag"]), ["bookmark", "tag"], "left_anti")
     if stage == "entities":
         found = entities(pending)
         old = inside(t["link"])
         fresh = found.select(F.col("id").alias("bookmark"), F.posexplode("links").alias("at", "original")).join(old.select("bookmark", F.col("resolved").alias("original")), ["bookmark", "original"], "left_anti")
         fresh = urls.with_kind(fresh, "original", "kind").select("bookmark", (F.col("at") + 10_000).alias("ordinal"), "original", F.col("original").alias("resolved"), "kind", *[F.lit(None).cast("string").alias(c) for c in ("title", "body", "summary")], F.when(urls.is_paywalled(F.col("original")), "paywall").alias("blocked"))
-        changed["link"] = t["link"].unionByName(fresh)
-        changed["tag"] = t["tag"].unionByName(found.select(F.col("id").alias("bookmark"), F.explode("tags").alias("tag"))).distinct()
+        added["link"] = fresh
+        added["tag"] = more_tags(found.select(F.col("id").alias("bookmark"), F.explode("tags").alias("tag")))
         items = items.join(found.select("id", F.col("fingerprint").alias("__fp")), "id", "left").withColumn("fingerprint", F.coalesce("__fp", "fingerprint")).drop("__fp")
     elif stage == "vision":
-        changed["tag"] = t["tag"].unionByName(vision(inside(t["media"]))).distinct()
+        added["tag"] = more_tags(vision(inside(t["media"])))
     elif stage == "tagged":
-        changed["tag"] = replace_rows(t["tag"], tagging(pending, inside(t["link"]), inside(t["tag"])))
+        changed["tag"] = replace_rows(t["tag"], tagging(pending, inside(t["link"]), inside(t["tag"]), most_tags))
     elif stage == "categorized":
         assigned = categorize(pending, inside(t["link"]))
         changed["item_category"] = replace_rows(t["item_category"], assigned) if "item_category" in t else assigned
@@ -109,10 +114,19 @@ def run_stage(store: Store, stage: str, now: int, agent=None, limit: int | None
         told = describe(pending, inside(t["link"]), agent)
         items = items.join(told.select("id", F.col("title").alias("__t"), F.col("summary").alias("__s")), "id", "left").withColumns({"title": F.coalesce("__t", "title"), "summary": F.coalesce("__s", "summary")}).drop("__t", "__s")
     changed["bookmark"] = stamp(items, ids, stage, now)
-    store.commit(changed)
+    store.commit(changed, added)
     return n
 
 
+def next_batch(store: Store, stage: str, n: int) -> DataFrame:
+    """The next ``n`` pending items of a stage by id, with their links, media, tags and categories."""
+    t = store.tables()
+    ids = t["bookmark"].where(F.col(f"{stage}_at").isNull()).orderBy("id").limit(n)
+    empty = lambda schema: store.spark.createDataFrame([], schema)
+    assigned = t.get("bookmark_category", empty("bookmark bigint, category bigint, confidence float, assigned_by string"))
+    return hydrate(ids, t["link"], t["media"], t["tag"], assigned, t.get("category", empty("id bigint, slug string"))).orderBy("id")
+
+
 def run_all(store: Store, now: int, only=None, without=(), agent=None) -> DataFrame:
     """Runs the stages in their order; (stage, done) of each."""
     done = [(s, run_stage(store, s, now, agent)) for s in ORDER if (only is None or s in only) and s not in without]

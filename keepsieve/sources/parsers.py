@@ -11,12 +11,12 @@ import json
 import re
 import xml.etree.ElementTree as ET
 from html.parser import HTMLParser
-from urllib.parse import parse_qsl, urlsplit, urlunsplit
+from urllib.parse import urlsplit
 
 import pandas as pd
 
 from keepsieve.functions.timestamps import MONTH_OF, instants
-from keepsieve.functions.urls import TRACKING, TRACKING_PREFIXES
+from keepsieve.functions.urls import HOST_PATTERN, PATH_PATTERN, QUERY_PATTERN, TRACKING, TRACKING_PREFIXES
 
 Record = dict
 FIELDS = ("medium", "external_id", "collection", "url", "author_handle", "author_name", "title", "summary", "body", "role", "created_ms", "tags", "links", "media", "raw")
@@ -55,11 +55,15 @@ def clean_html(text: str | None) -> str:
 
 
 def canonical(url: str) -> str:
-    p = urlsplit(url)
-    host = re.sub(r"^(www\.)+", "", (p.hostname or "").lower()) + (f":{p.port}" if p.port else "")
-    kept = sorted((k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if k.lower() not in TRACKING and not k.lower().startswith(TRACKING_PREFIXES))
-    query = "&".join(f"{k}={v}" if v else k for k, v in kept)
-    return urlunsplit(("https" if p.scheme == "http" else p.scheme, host, "" if p.path == "/" and not query else p.path, query, ""))
+    """The spelling that ``urls.canonical`` gives as a column, from the same patterns."""
+    part = lambda pattern, n=1: (m[n] or "") if (m := re.search(pattern, url, re.S)) else ""
+    attributes = lambda p: (k := p.split("=")[0].lower()) in TRACKING or k.startswith(TRACKING_PREFIXES)
+    query = "&".join(sorted(p for p in part(QUERY_PATTERN).split("&") if p and not attributes(p)))
+    scheme = part(r"^([A-Za-z][A-Za-z0-9+.-]*):").lower()
+    host = re.sub(r"^(www\.)+", "", part(HOST_PATTERN).lower()) + part(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]*(:\d+)?")
+    path = part(PATH_PATTERN)
+    path = "" if path in ("", "/") and not query else path or "/"
+    return f"{'https' if scheme == 'http' else scheme}://{host}{path}" + (f"?{query}" if query else "")
 
 
 def key_of(url: str) -> str:

@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepsieve.plans.runtime import keep_table
 from keepsieve.sources.parsers import FIELDS, parse_any
 
+#: Pages of a remote source that the driver holds at once.
+CHUNK = 200
 LINK = "struct<original:string,resolved:string,kind:string,title:string>"
 MEDIA = "struct<kind:string,url:string,preview_url:string>"
 ITEM = f"medium string, external_id string, collection string, url string, author_handle string, author_name string, title string, summary string, body string, role string, created_ms bigint, tags array<string>, links array<{LINK}>, media array<{MEDIA}>, raw string"
@@ -58,20 +62,31 @@ def read_files(spark: SparkSession, path: str, *, kind: str | None = None, mediu
     return read.where("reason is null").drop("reason"), read.where("reason is not null").select("path", "reason")
 
 
-def paged_items(spark: SparkSession, fetch: Callable[[str | None], tuple[str, str | None]], kind: str, max_pages: int = 1000) -> tuple[DataFrame, DataFrame]:
+def paged_items(spark: SparkSession, fetch: Callable[[str | None], tuple[str, str | None]], kind: str, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, rejects) of a source that hands out pages: fetch(cursor) gives (payload, next cursor).
 
-    Stops at the end, at ``max_pages``, or where the cursor doesn't move. Only
-    payloads of this call pass through the driver; parsing is distributed.
+    Stops at the end, or where a cursor comes again; more than ``max_pages``
+    pages are an error. Payloads pass through the driver, which holds CHUNK of
+    them at most: each chunk is written into the shared folder. Parsing is
+    distributed.
     """
-    pages, cursor = [], None
-    for _ in range(max_pages):
+    pages, parts, cursor, known, n = [], [], None, {None}, 0
+    schema = "path string, text string"
+    while True:
         payload, following = fetch(cursor)
-        pages.append((f"page-{len(pages)}", payload))
-        if following is None or following == cursor:
+        pages.append((f"page-{n}", payload))
+        n += 1
+        if len(pages) == CHUNK:
+            parts.append(keep_table(spark.createDataFrame(pages, schema)))
+            pages = []
+        if following in known:
             break
+        if n == max_pages:
+            raise ValueError(f"the source has more than {max_pages} pages")
+        known.add(following)
         cursor = following
-    frame = spark.createDataFrame(pages, "path string, text string").repartition(max(1, min(len(pages), spark.sparkContext.defaultParallelism)))
+    frame = reduce(DataFrame.unionByName, [*parts, spark.createDataFrame(pages, schema)])
+    frame = frame.repartition(max(1, min(n, spark.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -90,3 +105,13 @@ def paged_items(spark: SparkSession, fetch: Callable[[str | None], tuple[str, st
 def manual_items(spark: SparkSession, urls: list[str]) -> tuple[DataFrame, DataFrame]:
     """(items, rejects) of addresses given by hand; only http and https ones are taken."""
     return paged_items(spark, lambda c: ("\n".join(urls), None), "urls")
+
+
+def oldest_first(items: DataFrame) -> DataFrame:
+    """Items in the order of a folder import: by their date, undated ones last, then by identity."""
+    return items.orderBy(F.col("created_ms").asc_nulls_last(), "medium", "external_id")
+
+
+def of_medium(items: DataFrame, medium: str | None) -> DataFrame:
+    """Items of one source only, or all where none is named."""
+    return items if medium is None else items.where(F.col("medium") == medium)

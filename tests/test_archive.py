@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keepsieve.functions import pages, texts, urls
 from keepsieve.operators import query, rules, search, stages
 from keepsieve.operators.components import components
-from keepsieve.operators.store import Store, delete, latest_wins
+from keepsieve.operators.store import Store, assign_categories, delete, latest_wins
 from keepsieve.sinks import render
 from keepsieve.sources import parsers
 from keepsieve.sources.readers import ITEM, manual_items, paged_items, read_files
@@ -28,6 +28,8 @@ def col(spark, values, kind="string"):
         ("https://example.com/", "https://example.com"),
         ("https://example.com:8080/x?ref=1", "https://example.com:8080/x"),
         ("https://example.com/?q=1", "https://example.com/?q=1"),
+        ("https://example.com?q=a%20b&a=", "https://example.com/?a=&q=a%20b"),
+        ("https://u@example.com:80", "https://example.com:80"),
         (None, None),
     ],
 )
@@ -52,9 +54,9 @@ def test_url_functions(spark):
 
 
 def test_entities(spark):
-    text = "thanks @simonw, a@b.example for #Rust &#x27; #2026 c#sharp $GOLD $100 see https://a.example/x). and bbc.co.uk or main.rs, news.blog now."
+    text = "ask @harbour_1, me@mail.example about #Boats &#x27; #1999 b#flat $TIN $250 at https://pier.example/9). and tide.co.uk or keel.rs, mast.blog too."
     r = col(spark, [text]).select(*[f(F.col("x")).alias(n) for n, f in (("m", texts.mentions), ("h", texts.hashtags), ("c", texts.cashtags), ("d", texts.bare_domains), ("l", urls.links_in))]).first()
-    assert r["m"] == ["simonw"] and r["h"] == ["rust", "sharp"] and r["c"] == ["gold"] and r["d"] == ["bbc.co.uk", "news.blog"] and r["l"] == ["https://a.example/x"]
+    assert r["m"] == ["harbour_1"] and r["h"] == ["boats", "flat"] and r["c"] == ["tin"] and r["d"] == ["tide.co.uk", "mast.blog"] and r["l"] == ["https://pier.example/9"]
     assert col(spark, [None]).select(texts.mentions(F.col("x"))).first()[0] == []
 
 
@@ -159,8 +161,62 @@ def test_store_and_stages(spark, tmp_path):
     assert left["bookmark"].count() == 1 and left["tag"].join(one.withColumnRenamed("id", "bookmark"), "bookmark").count() == 0
 
 
+def records(spark, n, start=0, ms="null"):
+    given = spark.range(start, start + n).select(F.lit("manual").alias("medium"), F.col("id").cast("string").alias("external_id"), F.expr(f"cast({ms} as bigint)").alias("created_ms"))
+    empty = spark.createDataFrame([], ITEM)
+    return empty.unionByName(given, allowMissingColumns=True).withColumns({c: F.coalesce(c, F.array().cast(dict(empty.dtypes)[c])) for c in ("tags", "links", "media")})
+
+
+def test_ids_are_unique_and_follow_time(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.insert(records(spark, 100_000), NOW)["inserted"] == 100_000
+    # the undated run on into the next ms, where dated ones come to stand
+    assert store.insert(records(spark, 300, 200_000, f"{NOW} + id % 3"), NOW)["inserted"] == 300
+    assert store.insert(records(spark, 70_000, 300_000), NOW + 1)["inserted"] == 70_000
+    items = store.table("bookmark")
+    assert items.select("id").distinct().count() == items.count() == 170_300
+    assert store.insert(records(spark, 10), NOW + 2)["inserted"] == 0
+    one = records(spark, 3, 900_000, "1700000000000 + 5 * id")
+    store.insert(one, NOW)
+    got = store.table("bookmark").join(one.select("external_id", F.col("created_ms").alias("ms")), "external_id").select(texts.id_to_millis(F.col("id")).alias("x"), "ms").collect()
+    assert len(got) == 3 and all(r["x"] == r["ms"] for r in got)
+
+
+def test_a_change_that_fails_leaves_the_last_one(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    store = Store(spark, path)
+    store.insert(records(spark, 50), NOW)
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_publish", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            store.insert(records(spark, 5, 100), NOW)
+    again = Store(spark, path)
+    assert again.table("bookmark").count() == 50 and again.manifest["version"] == 1
+    (tmp_path / "store" / "_manifest-9-x").write_text("half")
+    before = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    again.insert(records(spark, 5, 100), NOW)
+    # an insert writes its batch, not the archive
+    assert Store(spark, path).table("bookmark").count() == 55 and sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) - before < written
+    assert len(again.manifest["tables"]["bookmark"]) == 2
+    again.compact()
+    assert len(again.manifest["tables"]["bookmark"]) == 1 and again.table("bookmark").count() == 55 and again.size() > 0
+    again.reset()
+    assert Store(spark, path).tables() == {}
+    again.undo()
+    assert Store(spark, path).table("bookmark").count() == 55
+
+
+def test_assign_categories(spark):
+    category = spark.createDataFrame([(1, "a"), (2, "b")], "id long, slug string")
+    assigned = spark.createDataFrame([(10, 1, 0.5, "rule"), (11, 2, 0.5, "rule"), (12, 2, 0.5, "rule")], "bookmark long, category long, confidence float, assigned_by string")
+    changes = spark.createDataFrame([(10, "b", 1.0, "model"), (10, "b", 0.5, "model"), (10, "zzz", 1.0, "model"), (12, "zzz", 1.0, "model")], "bookmark long, slug string, confidence float, assigned_by string")
+    got = {(r["bookmark"], r["category"], r["confidence"]) for r in assign_categories(assigned, changes, category).collect()}
+    assert got == {(10, 2, 1.0), (11, 2, 0.5)}
+
+
 def test_store_refuses_another_schema(spark, tmp_path):
-    (tmp_path / "manifest.json").write_text('{"schema": 99, "version": 1, "tables": {}}')
+    (tmp_path / "manifest-1.json").write_text('{"schema": 99, "version": 1, "tables": {}}')
     with pytest.raises(ValueError, match="schema"):
         Store(spark, str(tmp_path))
 
@@ -225,6 +281,16 @@ def test_rules(spark):
     assert got == ["engineering", "engineering", "general", "general"]
     table = spark.createDataFrame([(i, r.slug, n) for i, r in enumerate(rules.DEFAULT_RULES) for n in r.any], "order int, slug string, needle string")
     assert [r["slug"] for r in rules.route_by_table(col(spark, urls_), "x", table).orderBy(F.col("x").asc_nulls_last()).collect()] == ["engineering", "engineering", "general", "general"]
+    import random
+
+    rng = random.Random(3)
+    word = lambda a, b: "".join(rng.choices("ab./", k=rng.randrange(a, b)))
+    made = [rules.Rule(f"s{i}", [word(1, 6), word(1, 6)]) for i in range(12)] + [rules.Rule("tools", ["/software"]), rules.Rule("eng", ["hub.com"])]
+    table = spark.createDataFrame([(i, r.slug, n) for i, r in enumerate(made) for n in r.any], "order int, slug string, needle string")
+    df = col(spark, [f"https://{word(4, 14)}" for _ in range(150)] + ["https://x.example/software", "https://github.com/a", "", None, None])
+    same = rules.route_by_table(df, "x", table).select("slug", rules.route(F.col("x"), made).alias("want"))
+    assert same.count() == 155 and same.where("slug <> want").count() == 0
+    assert rules.rubric(rules.default_categories(spark)).first()["rubric"].startswith("- business: markets")
     assert col(spark, ["https://arxiv.org/1"]).select(rules.all_matches(F.col("x"))).first()[0] == ["engineering", "science"]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsieve.functions import texts, urls
-from keepsieve.operators import fingerprints, query, rules, search, stages
+from keepsieve.operators import fingerprints, index, query, rules, search, stages
 from keepsieve.operators.catalog import query as register
 from keepsieve.operators.store import edit_tags, latest_wins, new_items, replace_rows, stamp
 from keepsieve.plans.runtime import read_table, spread
@@ -387,26 +387,34 @@ bm AS (SELECT id, score, matched FROM r WHERE matched = {len(terms)} OR (SELECT
 _FIELDS = {"title": 3.0, "body": 1.0, "extra": 1.5}
 
 
+def _bookmark_index(spark: SparkSession, d: str) -> index.SearchIndex:
+    return index.open_index(read_table(spark, d, "bookmark"), f"{d}/bookmark")
+
+
+def _document_index(spark: SparkSession, d: str) -> index.SearchIndex:
+    return index.open_index(read_table(spark, d, "documents"), f"{d}/documents", id="doc_id", fields={"body": "text"}, changed="saved_at")
+
+
 @register(bm25_sql("bookmark", "id", _FIELDS, ["coral", "reef"]) + "SELECT id, round(score, 6) AS bm25, matched FROM bm")
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    got = search.bm25(read_table(spark, d, "bookmark"), "coral reef")
+    got = _bookmark_index(spark, d).bm25("coral reef")
     return got.select("id", F.round("bm25", 6).alias("bm25"), "matched")
 
 
 @register(bm25_sql("documents", "doc_id", {"text": 1.0}, ["dumpling", "zzzunseen"]) + "SELECT id, round(score, 6) AS bm25, matched FROM bm")
 def search_and_then_or(spark: SparkSession, d: str) -> DataFrame:
-    got = search.bm25(read_table(spark, d, "documents"), "dumpling zzzunseen", id="doc_id", fields={"body": "text"})
+    got = _document_index(spark, d).bm25("dumpling zzzunseen")
     return got.select("id", F.round("bm25", 6).alias("bm25"), "matched")
 
 
 @register("SELECT doc_id AS id FROM documents WHERE " + " OR ".join(f"contains({ascii_lower_sql('text')}, '{g}')" for g in ("ja", "az", "zz")))
 def bigram_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return search.bigram_candidates(read_table(spark, d, "documents"), "jazz", id="doc_id")
+    return _document_index(spark, d).candidates("jazz")
 
 
 @register("SELECT doc_id AS id FROM documents WHERE " + " AND ".join(f"contains({ascii_lower_sql('text')}, '{g}')" for g in ("wa", "av", "ve", "fu", "un", "nc")))
 def bigram_candidates_all(spark: SparkSession, d: str) -> DataFrame:
-    return search.bigram_candidates(read_table(spark, d, "documents"), "wave" + "\n" + "func", id="doc_id", every=True)
+    return _document_index(spark, d).candidates("wave" + "\n" + "func", every=True)
 
 
 _NEAR = f"""nw AS (SELECT DISTINCT id, w FROM (SELECT doc_id AS id, unnest({_WORDS.format(c='text')}) AS w FROM documents)),
@@ -429,7 +437,7 @@ SELECT id, exact, typo, round(fused, 6) AS fused FROM j ORDER BY j.fused DESC, i
 )
 def search_fused(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
-    exact = search.ranked(search.bm25(docs, "dumpling", id="doc_id", fields={"body": "text"}), "bm25", "id")
+    exact = search.ranked(_document_index(spark, d).bm25("dumpling"), "bm25", "id")
     typo = search.ranked(search.word_distance(docs, "dumplnig", id="doc_id", content="text"), "distance", "id")
     got = search.fuse({"exact": exact, "typo": typo})
     return got.select("id", F.col("exact").cast("bigint").alias("exact"), F.col("typo").cast("bigint").alias("typo"), F.round("fused", 6).alias("fused"))
@@ -438,7 +446,38 @@ def search_fused(spark: SparkSession, d: str) -> DataFrame:
 @register()
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and typo-tolerant ranking of all bookmarks, fused."""
-    return search.hybrid(read_table(spark, d, "bookmark").select("id", "title", "body", "extra"), "magntic field")
+    return _bookmark_index(spark, d).search("magntic field")
+
+
+_SCAN = bm25_sql("bookmark", "id", _FIELDS, ["dumpling"]) + ", h AS (SELECT id, score, row_number() OVER (ORDER BY score, id) AS rank FROM bm ORDER BY rank LIMIT 20 OFFSET 10)"
+
+
+@register(_SCAN + " SELECT b.id, b.title, b.medium, h.rank - 10 AS rank FROM h JOIN bookmark b ON b.id = h.id")
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    """Second page of exact hits with their items, in order of rank."""
+    hits = _bookmark_index(spark, d).search("dumpling", mode="exact", offset=10, limit=20)
+    items = read_table(spark, d, "bookmark").select("id", "title", "medium")
+    return index.with_ranks(items, hits, F.col("fused").desc(), F.col("id")).select("id", "title", "medium", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register(
+    """WITH t AS (SELECT id, lower(concat_ws(' ', coalesce(title, ''), coalesce(body, ''), coalesce(extra, ''))) AS x FROM bookmark), c AS (SELECT x[i:i + 1] AS pair, id FROM t, unnest(range(1, len(x))) AS r(i))
+SELECT pair, count(DISTINCT id) AS items FROM c WHERE regexp_matches(pair, '^[ -~]{2}$') GROUP BY pair""".replace("lower(", "translate(").replace("'')))", "'')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+)
+def index_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Character pairs of the prefilter with the number of items that hold them."""
+    rows = _bookmark_index(spark, d)._table("pairs").groupBy("pair").agg(F.count("*").alias("items"))
+    return rows.select(F.concat(F.chr(F.floor(F.col("pair") / 256)), F.chr(F.col("pair") % 256)).alias("pair"), "items")
+
+
+@register(
+    f"""WITH w AS (SELECT id, unnest({_WORDS.format(c='title')}) AS term, 3.0 AS w FROM bookmark UNION ALL SELECT id, unnest({_WORDS.format(c='body')}), 1.0 FROM bookmark UNION ALL SELECT id, unnest({_WORDS.format(c='extra')}), 1.5 FROM bookmark)
+SELECT term, count(DISTINCT id) AS df, count(*) AS cf, sum(w)::DOUBLE AS weighted FROM w GROUP BY term"""
+)
+def index_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the index with their frequencies."""
+    rows = _bookmark_index(spark, d)._table("terms")
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum("weighted").alias("weighted"))
 
 
 @register()

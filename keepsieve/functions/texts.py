@@ -187,8 +187,8 @@ def millis_to_id(ms: Column, low: Column) -> Column:
 
 def epoch_ms(value: Column) -> Column:
     """Seconds, milliseconds, micro- or nanoseconds since 1970 as milliseconds, by size."""
-    size = F.abs(value)
-    return F.when(size >= 10**17, F.floor(value / 10**6)).when(size >= 10**14, F.floor(value / 1000)).when(size >= 10**11, value).otherwise(value * 1000).cast("bigint")
+    size, whole = F.abs(value), value.cast("decimal(20,0)")  # a double doesn't hold nanoseconds
+    return F.when(size >= 10**17, F.floor(whole / F.lit(10**6).cast("decimal(10,0)"))).when(size >= 10**14, F.floor(whole / F.lit(1000).cast("decimal(10,0)"))).when(size >= 10**11, value).otherwise(value * 1000).cast("bigint")
 
 
 def iso8601(ms: Column) -> Column:

@@ -127,3 +127,19 @@ def primary_link(links: Column) -> Column:
         ),
     )
     return F.coalesce(F.array_max(F.transform(rated, lambda r: F.struct(r["body"], r["title"], r["prose"], r["at"], r["link"]["resolved"].alias("resolved"))))["resolved"], F.get(links, 0)["resolved"])
+
+
+def core_title(title: Column, links: Column, body: Column) -> Column:
+    """Title, else a link's title, else the first line cut to 90 characters, else ``Untitled``."""
+    from keepsieve.functions import texts
+
+    link = F.get(F.filter(F.transform(links, lambda x: texts.blank_to_null(x["title"])), lambda x: x.isNotNull()), 0)
+    line = F.get(F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), 0)
+    return F.coalesce(texts.blank_to_null(title), link, texts.truncated(line, 90), F.lit("Untitled"))
+
+
+def date_range(items: DataFrame, ms: str = "created_ms") -> DataFrame:
+    """(first_day, last_day) of the items; null without any."""
+    from keepsieve.functions import texts
+
+    return items.agg(F.min(ms).alias("a"), F.max(ms).alias("b")).select(texts.date_only(F.col("a")).alias("first_day"), texts.date_only(F.col("b")).alias("last_day"))

@@ -86,19 +86,23 @@ def paged_items(spark: SparkSession, fetch: Callable[[str | None], tuple[str, st
         known.add(following)
         cursor = following
     frame = reduce(DataFrame.unionByName, [*parts, spark.createDataFrame(pages, schema)])
-    frame = frame.repartition(max(1, min(n, spark.sparkContext.defaultParallelism)))
+    return parse_texts(frame.repartition(max(1, min(n, spark.sparkContext.defaultParallelism))), kind)
+
+
+def parse_texts(texts: DataFrame, kind: str, medium: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects) of payloads (path, text) of one format; null texts give neither."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for p, text in zip(pdf["path"], pdf["text"], strict=True):
-                items, rejects = parse_any(p, text, None, kind)
+                items, rejects = parse_any(p, text, None, kind, medium)
                 rows += [{"path": p} | i for i in items] + [{"path": p, "reason": r} for r in rejects]
             out = pd.DataFrame(rows, columns=["path", "reason", *FIELDS])
             out["created_ms"] = out["created_ms"].astype("Int64")
             yield out.astype(object).where(out.notna(), None).assign(created_ms=out["created_ms"])
 
-    read = frame.mapInPandas(run, f"path string, reason string, {ITEM}")
+    read = texts.select("path", "text").where("text is not null").mapInPandas(run, f"path string, reason string, {ITEM}")
     return read.where("reason is null").drop("reason"), read.where("reason is not null").select("path", "reason")
 
 

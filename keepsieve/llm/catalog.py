@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsieve.llm.boilerplate import main_bodies, outside_lines
-from keepsieve.llm.lookalike import consistent_form, look_alike_pairs
+from keepsieve.llm.lookalike import consistent_form, look_alike_classes, look_alike_pairs
 from keepsieve.llm.mixing import mix
 from keepsieve.llm.nearcopies import copy_groups, copy_pairs, near_copies
 from keepsieve.llm.packing import pack
@@ -42,6 +42,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("bookmark_a"), F.col("id_b").alias("bookmark_b"), "field")
 
 
+@query()
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Bookmarks whose title or body looks like another's in different characters, by class."""
+    return look_alike_classes(read_table(spark, d, "bookmark"), id="id", columns=["title", "body"]).withColumnRenamed("id", "bookmark")
+
+
 @query()
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     """Title and body of every bookmark in the consistent form."""

@@ -266,6 +266,31 @@ def consistent_form(texts: DataFrame, columns: list[str], suffix: str = "_form")
     return base.mapInArrow(run, schema)
 
 
+def _hashed_forms(texts: DataFrame, id: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((id, field, f1, f2, raw), (field, f1, f2)): hashes of forms and texts, and the forms with several spellings."""
+    formed = consistent_form(texts.select(id, *columns), columns)
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("raw"), F.col(c + "_form").alias("form")) for c in columns])).alias("x")
+    hashed = cut_lineage(  # 30 bytes a text, read several times
+        formed.select(F.col(id).alias("id"), stacked)
+        .where("x.raw is not null and x.form <> ''")
+        .select("id", "x.field", F.xxhash64("x.form").alias("f1"), F.hash("x.form").alias("f2"), F.xxhash64("x.raw", F.length("x.raw")).alias("raw"))
+    )
+    return hashed, hashed.groupBy("field", "f1", "f2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field", "f1", "f2")
+
+
+def look_alike_classes(texts: DataFrame, *, id: str, columns: list[str]) -> DataFrame:
+    """(id, field, class, spellings): each text that looks like one of other characters, with the smallest id of its class.
+
+    One row a text however many look the same, unlike the pairs; spellings is
+    the number of different texts in the class. Nulls and texts without visible
+    characters take no part, repeated rows count once.
+    """
+    hashed, mixed = _hashed_forms(texts, id, columns)
+    inside = hashed.join(mixed, ["field", "f1", "f2"], "left_semi")
+    classes = inside.groupBy("field", "f1", "f2").agg(F.min("id").alias("class"), F.count_distinct("raw").alias("spellings"))
+    return inside.join(classes, ["field", "f1", "f2"]).select("id", "field", "class", "spellings").distinct()
+
+
 def look_alike_pairs(texts: DataFrame, *, id: str, columns: list[str]) -> DataFrame:
     """Pairs (id_a < id_b, field) whose non-empty texts look the same but differ in characters.
 
@@ -274,14 +299,7 @@ def look_alike_pairs(texts: DataFrame, *, id: str, columns: list[str]) -> DataFr
     compared with every other id, not with itself; nulls and texts without
     visible characters take no part.
     """
-    formed = consistent_form(texts.select(id, *columns), columns)
-    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("raw"), F.col(c + "_form").alias("form")) for c in columns])).alias("x")
-    hashed = cut_lineage(  # 30 bytes a text, read three times below
-        formed.select(F.col(id).alias("id"), stacked)
-        .where("x.raw is not null and x.form <> ''")
-        .select("id", "x.field", F.xxhash64("x.form").alias("f1"), F.hash("x.form").alias("f2"), F.xxhash64("x.raw", F.length("x.raw")).alias("raw"))
-    )
-    mixed = hashed.groupBy("field", "f1", "f2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field", "f1", "f2")
+    hashed, mixed = _hashed_forms(texts, id, columns)
     inside = hashed.join(mixed, ["field", "f1", "f2"], "left_semi")
     a, b = inside.alias("a"), inside.alias("b")
     same = (F.col("a.field") == F.col("b.field")) & (F.col("a.f1") == F.col("b.f1")) & (F.col("a.f2") == F.col("b.f2"))

@@ -11,6 +11,7 @@ however many elements it has.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,8 +101,8 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, docs: np.ndarray,
     return np.where(total[:, None] > 0, sig, out)
 
 
-def shingle_sets(texts: list[str | None], words: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, shingle hash) of each distinct word sequence, sorted by both; texts under ``least`` words have none."""
+def shingle_sets(texts: list[str | None], words: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle hash, count) of each distinct word sequence, sorted by both; texts under ``least`` words have none."""
     docs, flat, sizes = [], [], []
     for i, text in enumerate(texts):
         found = _WORD.findall(text.lower()) if text else ()
@@ -110,7 +111,7 @@ def shingle_sets(texts: list[str | None], words: int, least: int) -> tuple[np.nd
             sizes.append(len(found))
             flat.extend(found)
     if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
     codes, names = pd.factorize(np.array(flat, dtype=object))
     word = pd.util.hash_array(np.asarray(names, dtype=object), categorize=False)[codes]
     owner = np.repeat(np.array(docs), sizes)
@@ -123,10 +124,10 @@ def shingle_sets(texts: list[str | None], words: int, least: int) -> tuple[np.nd
     own, h = own[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1])
-    return own[new], h[new]
+    return own[new], h[new], np.diff(np.append(np.flatnonzero(new), len(h)))
 
 
-def sketches(texts: DataFrame, *, words: int, least: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def sketches(texts: DataFrame, *, words: int, least: int, rows: int = ROWS, bands: int = BANDS, counted: bool = False) -> DataFrame:
     """(id, text, bits, bands) of each of ``texts`` (id, text) with at least ``least`` words.
 
     bits holds one bit per coordinate of the signature, bands one 32-bit hash
@@ -139,11 +140,11 @@ def sketches(texts: DataFrame, *, words: int, least: int, rows: int = ROWS, band
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                own, h = shingle_sets(part.column(1).to_pylist(), words, least)
+                own, h, times = shingle_sets(part.column(1).to_pylist(), words, least)
                 kept, dense = np.unique(own, return_inverse=True)
                 if len(kept) == 0:
                     continue
-                sig = dart_signatures(h, np.ones(len(h)), dense, len(kept), k)
+                sig = dart_signatures(h, times.astype(float) if counted else np.ones(len(h)), dense, len(kept), k)
                 joined = np.zeros((len(kept), bands), _U)
                 for r in range(rows):
                     joined = _mix(joined * _U(0x9E3779B97F4A7C15) + sig[:, r::rows].astype(_U) + _U(1))
@@ -165,22 +166,23 @@ def sketches(texts: DataFrame, *, words: int, least: int, rows: int = ROWS, band
     return texts.mapInArrow(run, schema)
 
 
-def _similarity(words: int):
-    """Exact Jaccard similarity of the sets of word sequences of two texts."""
+def _similarity(words: int, counted: bool):
+    """Exact Jaccard similarity of the sets of word sequences of two texts, or of their counts."""
 
     @F.pandas_udf("double")
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
-            sets: dict[str, set] = {}
+            sets: dict[str, set | Counter] = {}
             for text in {*left, *right}:
                 w = _WORD.findall(text.lower())
-                sets[text] = set(zip(*(w[j:] for j in range(words)), strict=False))
-            yield pd.Series([len(sets[x] & sets[y]) / max(1, len(sets[x] | sets[y])) for x, y in zip(left, right, strict=True)], dtype="float64")
+                sets[text] = (Counter if counted else set)(zip(*(w[j:] for j in range(words)), strict=False))
+            size = (lambda s: s.total()) if counted else len
+            yield pd.Series([size(sets[x] & sets[y]) / max(1, size(sets[x] | sets[y])) for x, y in zip(left, right, strict=True)], dtype="float64")
 
     return of
 
 
-def near_copies(texts: DataFrame, *, id: str, text: str, words: int = 5, least: int = 0, threshold: float = 0.8, rows: int = ROWS, bands: int = BANDS, sketch: bool = True) -> tuple[DataFrame, DataFrame]:
+def near_copies(texts: DataFrame, *, id: str, text: str, words: int = 5, least: int = 0, threshold: float = 0.8, rows: int = ROWS, bands: int = BANDS, counted: bool = False, sketch: bool = True) -> tuple[DataFrame, DataFrame]:
     """(members, links): every compared text with its class of equal texts, and links between classes.
 
     members (id, rep): rep is the smallest id with the same text. links (a, b,
@@ -189,7 +191,9 @@ def near_copies(texts: DataFrame, *, id: str, text: str, words: int = 5, least:
     exactly on the texts. Texts with fewer than ``least`` words (or than
     ``words``) take no part; null ids or texts neither. An id that comes with
     several texts is a member of several classes. Empty tables give empty
-    results; other columns are ignored.
+    results; other columns are ignored. With ``counted`` a word sequence weighs
+    as often as it occurs: the similarity is the sum of the smaller counts over
+    that of the larger ones.
 
     Only pairs that meet in a band are compared: with the default bands one of
     similarity 0.5 is missed with 0.045, of 0.55 with 0.01, of 0.8 with less
@@ -201,7 +205,7 @@ def near_copies(texts: DataFrame, *, id: str, text: str, words: int = 5, least:
     given = given.select("id", "text", F.xxhash64("text").alias("key1"), F.hash("text").alias("key2"))
     # copies meet before anything is computed on them; partial aggregation leaves one per task
     classes = given.groupBy("key1", "key2").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("rep"))
-    reps = keep_table(sketches(classes.select("rep", "text"), words=words, least=least, rows=rows, bands=bands))
+    reps = keep_table(sketches(classes.select("rep", "text"), words=words, least=least, rows=rows, bands=bands, counted=counted))
     owners = given.groupBy("key1", "key2").agg(F.min("id").alias("rep"))
     members = given.select("id", "key1", "key2").join(owners, ["key1", "key2"]).select("id", "rep").distinct()
     members = members.join(reps.select(F.col("id").alias("rep")), "rep", "left_semi").select("id", "rep")
@@ -219,7 +223,7 @@ def near_copies(texts: DataFrame, *, id: str, text: str, words: int = 5, least:
     likely = met.where(F.lit(k) - differ >= mark).select("a", "b") if sketch else pairs
     bodies = reps.select("id", "text")
     both = likely.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(bodies.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = both.select("a", "b", _similarity(words)("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= threshold)
+    links = both.select("a", "b", _similarity(words, counted)("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= threshold)
     return members, keep_table(links)
 
 

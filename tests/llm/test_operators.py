@@ -66,6 +66,9 @@ def test_look_alike_pairs(spark):
     got = {tuple(r) for r in lookalike.look_alike_pairs(df, id="id", columns=["title", "body"]).collect()}
     assert got == {(1, 2, "title"), (1, 3, "title"), (2, 3, "title"), (2, 4, "body"), (3, 4, "body")}
     assert lookalike.look_alike_pairs(df.limit(0), id="id", columns=["title"]).count() == 0
+    classes = {tuple(r) for r in lookalike.look_alike_classes(df, id="id", columns=["title", "body"]).collect()}
+    assert {(i, f) for i, f, _, _ in classes} == {(i, f) for a, b, f in got for i in (a, b)} and all(n > 1 for *_, n in classes)
+    assert {c for _, f, c, _ in classes if f == "title"} == {1} and {c for _, f, c, _ in classes if f == "body"} == {2}
     kept = lookalike.consistent_form(df.withColumn("title_form", F.lit(0)), ["title"])
     assert kept.columns.count("title_form") == 1 and kept.count() == 7
 
@@ -111,6 +114,26 @@ def test_near_copies_find_the_exact_pairs(spark):
     assert nearcopies.copy_groups(empty_members, empty_links).count() == 0
 
 
+def test_near_copies_by_counts(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(base * rng.randrange(1, 4) + [f"x{rng.randrange(5)}"] * rng.randrange(0, 25))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    links = {(r["a"], r["b"]): r["similarity"] for r in nearcopies.near_copies(df, id="id", text="body", words=2, threshold=0.6, counted=True, sketch=False)[1].collect()}
+    from collections import Counter
+
+    held = {}
+    for i, t in rows:
+        w = t.split()
+        held.setdefault(t, (i, Counter(zip(w, w[1:], strict=False))))
+    want = {}
+    for (i, x), (j, y) in itertools.combinations(sorted(held.values(), key=lambda v: v[0]), 2):
+        if (s := (x & y).total() / (x | y).total()) >= 0.6:
+            want[i, j] = s
+    assert len(set(links) & set(want)) >= 0.97 * len(want) and set(links) <= set(want)
+    assert all(links[p] == pytest.approx(want[p]) for p in links)
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     e = rng.integers(0, 2**63, 300).astype(np.uint64)

@@ -17,6 +17,11 @@ def simhash64(tokens: Column) -> Column:
 
     Bits come from the first eight bytes of the token's MD5, read big-endian.
     """
+    return simhash_udf()(tokens)
+
+
+def simhash_udf():
+    """The function behind :func:`simhash64`, for registration."""
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -37,7 +42,7 @@ def simhash64(tokens: Column) -> Column:
                     out[full[lo:hi]] = np.packbits(sums > 0, axis=1).view(">i8").ravel()
             yield pd.Series(out)
 
-    return of(tokens)
+    return of
 
 
 def bands(fingerprint: Column, n: int = 4) -> Column:

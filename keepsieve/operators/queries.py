@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsieve.functions import texts, urls
@@ -193,8 +193,8 @@ def tag_replace(spark: SparkSession, d: str) -> DataFrame:
 FROM bookmark WHERE author_handle IS NOT NULL"""
 )
 def carry_forward(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("author_handle").orderBy("ingested_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return read_table(spark, d, "bookmark").where("author_handle is not null").select("id", "author_handle", F.last("collection", True).over(w).alias("carried"))
+    items = read_table(spark, d, "bookmark").where("author_handle is not null").select("id", "author_handle", "collection", "ingested_at")
+    return query.carry_forward(items, by="author_handle", value="collection", at="ingested_at").select("id", "author_handle", "carried")
 
 
 # ---- URLs
@@ -601,19 +601,41 @@ def render_json(spark: SparkSession, d: str) -> DataFrame:
     return render.json_lines(render.prepared(_hydrated(spark, d)))
 
 
-@register()
+_TAG_LIST = "coalesce((SELECT list_sort(list(DISTINCT lower(trim(t.tag)))) FROM tag t WHERE t.bookmark = p.id), [])"
+_DAY = "strftime(make_timestamp(created * 1000), '%Y-%m-%d')"
+_EXCERPT = r"trim(regexp_replace(coalesce(dsummary, body, ''), '[\s \x0B]+', ' ', 'g'))"
+
+
+@register(
+    PREPARED
+    + f"""SELECT {_DAY} AS section, id AS at, md5('<article><h3>' || CASE WHEN url IS NULL THEN {_XML('dtitle')} ELSE '<a href="' || {_XML('url')} || '">' || {_XML('dtitle')} || '</a>' END || '</h3><p>'
+ || {_XML(f"CASE WHEN length({_EXCERPT}) > 240 THEN substr({_EXCERPT}, 1, 237) || '…' ELSE {_EXCERPT} END")} || '</p><ul>' || array_to_string(list_transform({_TAG_LIST}[1:12], lambda v: '<li>' || {_XML('v')} || '</li>'), '') || '</ul></article>') AS line_md5 FROM p
+UNION ALL SELECT DISTINCT {_DAY}, 0, md5('<section><h2>' || {_DAY} || '</h2>') FROM p UNION ALL SELECT DISTINCT {_DAY}, 1, md5('</section>') FROM p"""
+)
 def render_html(spark: SparkSession, d: str) -> DataFrame:
-    return render.html_document(render.prepared(_hydrated(spark, d)))
+    """Lines of the HTML document: opening (at 0) and closing (at 1) of each day, and an article for each item."""
+    lines = render.html_document(render.prepared(_hydrated(spark, d)))
+    return lines.select("section", F.when(F.col("part") == 1, -F.col("at")).when(F.col("part") == 2, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("at"), F.md5("line").alias("line_md5"))
 
 
-@register()
+@register(
+    PREPARED
+    + f"""SELECT id, {_DAY} AS day, md5(concat_ws(chr(10) || chr(10), '# ' || dtitle, author, url, nullif(trim(body), ''), nullif(array_to_string(list_transform({_TAG_LIST}, lambda v: '#' || v), ' '), '')) || chr(10)) AS note_md5 FROM p"""
+)
 def render_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return render.markdown_notes(render.prepared(_hydrated(spark, d)))
+    return render.markdown_notes(render.prepared(_hydrated(spark, d))).select("id", "day", F.md5("note").alias("note_md5"))
 
 
-@register()
+_YAML = lambda x: f"(chr(39) || replace(regexp_replace({x}, '[\r\n]+', ' ', 'g'), chr(39), chr(39) || chr(39)) || chr(39))"
+
+
+@register(
+    PREPARED
+    + f"""SELECT id, md5(concat_ws(chr(10) || chr(10), concat_ws(chr(10), '---', 'title: ' || {_YAML('dtitle')}, 'date: ' || {_DAY}, 'created: ' || created::VARCHAR, 'author: ' || {_YAML('author')}, 'source: ' || medium, 'id: ' || external_id, 'url: ' || url,
+ 'categories: [' || replace(cats, ' ', ', ') || ']', CASE WHEN len({_TAG_LIST}) > 0 THEN 'tags: [' || array_to_string({_TAG_LIST}, ', ') || ']' END, '---'), '[[' || replace(cats, ' ', ']] [[') || ']]', author, nullif(trim(body), '')) || chr(10)) AS note_md5 FROM p"""
+)
 def render_obsidian(spark: SparkSession, d: str) -> DataFrame:
-    return render.obsidian_notes(render.prepared(_hydrated(spark, d)))
+    return render.obsidian_notes(render.prepared(_hydrated(spark, d))).select("id", F.md5("note").alias("note_md5"))
 
 
 @register(

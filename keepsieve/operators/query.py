@@ -143,3 +143,19 @@ def date_range(items: DataFrame, ms: str = "created_ms") -> DataFrame:
     from keepsieve.functions import texts
 
     return items.agg(F.min(ms).alias("a"), F.max(ms).alias("b")).select(texts.date_only(F.col("a")).alias("first_day"), texts.date_only(F.col("b")).alias("last_day"))
+
+
+def carry_forward(items: DataFrame, *, by: str, value: str, at: str, id: str = "id", span: int = 30 * 86_400_000, out: str = "carried") -> DataFrame:
+    """Adds the last ``value`` that isn't null up to each row of its group, in order of ``at`` and ``id``.
+
+    A group is cut into spans of time, so a hot one is no single task's: within
+    a span a window runs, and what earlier spans end with comes from one row a
+    span. Rows without ``at`` come first.
+    """
+    cut = items.withColumn("__span", F.coalesce(F.floor(F.col(at) / span), F.lit(-(1 << 62))))
+    w = Window.partitionBy(by, "__span").orderBy(at, id).rowsBetween(Window.unboundedPreceding, 0)
+    within = cut.withColumn("__own", F.last(value, True).over(w))
+    ends = cut.groupBy(by, "__span").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(F.coalesce(at, F.lit(-(1 << 62))).alias("at"), id))).alias("__end"))
+    before = Window.partitionBy(by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ends.select(by, "__span", F.last("__end", True).over(before).alias("__before"))
+    return within.join(earlier, [by, "__span"]).withColumn(out, F.coalesce("__own", "__before")).drop("__span", "__own", "__before")

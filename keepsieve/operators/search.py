@@ -228,6 +228,28 @@ def _begin(text: str, needle: str, end: int, edits: int) -> int:
     return lo
 
 
+def best_matches(texts: pd.Series, query: str) -> pd.DataFrame:
+    """(score, first, last) of the best occurrence of a query in each text; see :func:`typo_scores`."""
+    needle = query.lower()
+    budget, target = max(1, len(needle) // 4), np.array([ord(c) for c in needle], np.uint32)
+    n = len(texts)
+    score, first, last = np.full(n, np.nan), np.full(n, -1), np.full(n, -1)
+    lowered = [(t or "").lower() for t in texts]
+    order = np.argsort([len(t) for t in lowered], kind="stable")
+    for lo in range(0, n, 512):
+        rows = order[lo : lo + 512]
+        width = max((len(lowered[r]) for r in rows), default=0)
+        if width == 0 or len(target) == 0:
+            continue
+        codes = np.array([lowered[r] for r in rows], dtype=f"U{width}").view(np.uint32).reshape(len(rows), width)
+        edits, end = _distances(codes, target)
+        for i in np.flatnonzero(edits <= budget):
+            r = rows[i]
+            score[r] = 1 - edits[i] / (len(target) + 1)
+            first[r], last[r] = _begin(lowered[r], needle, int(end[i]), int(edits[i])), end[i]
+    return pd.DataFrame({"score": score, "first": pd.array(first, dtype="Int32"), "last": pd.array(last, dtype="Int32")})
+
+
 def typo_scores(texts: Column, query: str) -> Column:
     """struct(score, first, last): best occurrence of the query in each text, null above its budget of edits.
 
@@ -235,29 +257,11 @@ def typo_scores(texts: Column, query: str) -> Column:
     for an exact occurrence and falls with each edit; first and last are the
     inclusive character positions matched.
     """
-    needle = query.lower()
-    budget = max(1, len(needle) // 4)
 
     @F.pandas_udf("score double, first int, last int")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        target = np.array([ord(c) for c in needle], np.uint32)
         for batch in batches:
-            n = len(batch)
-            score, first, last = np.full(n, np.nan), np.full(n, -1), np.full(n, -1)
-            lowered = [(t or "").lower() for t in batch]
-            order = np.argsort([len(t) for t in lowered], kind="stable")
-            for lo in range(0, n, 512):
-                rows = order[lo : lo + 512]
-                width = max((len(lowered[r]) for r in rows), default=0)
-                if width == 0 or len(target) == 0:
-                    continue
-                codes = np.array([lowered[r] for r in rows], dtype=f"U{width}").view(np.uint32).reshape(len(rows), width)
-                edits, end = _distances(codes, target)
-                for i in np.flatnonzero(edits <= budget):
-                    r = rows[i]
-                    score[r] = 1 - edits[i] / (len(target) + 1)
-                    first[r], last[r] = _begin(lowered[r], needle, int(end[i]), int(edits[i])), end[i]
-            yield pd.DataFrame({"score": score, "first": pd.array(first, dtype="Int32"), "last": pd.array(last, dtype="Int32")})
+            yield best_matches(batch, query)
 
     return of(texts)
 

@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 
 from keepsieve.functions.texts import query_terms
 from keepsieve.operators.search import DEPTH, FUSE, IDF_FLOOR, K1, WEIGHTS, B, fuse, postings, ranked, tokens, typo_scores
-from keepsieve.plans.runtime import planned_bytes, shared_dir, spread
+from keepsieve.plans.runtime import parts_of, shared_dir, spread
 
 #: Bytes of the items' files for a bucket of postings, about, and files of a bucket.
 BUCKET_BYTES, FILES = 4 << 20, 4
 
 
+_SCHEMAS = {"terms": "term string, id bigint, dl int, weighted double, tf bigint, bucket int", "pairs": "id bigint, pair int, bucket int", "texts": "id bigint, text string"}
+
+
 def _term_bucket(term: str, n: int) -> int:
     return int(hashlib.md5(term.encode()).hexdigest()[:6], 16) % n
 
@@ -47,7 +50,7 @@ class SearchIndex:
         self.spark, self.path, self.facts = spark, path, facts
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{name}")
 
     def _postings(self, terms: list[str]) -> DataFrame:
         buckets = sorted({_term_bucket(t, self.facts["buckets"]) for t in terms})
@@ -124,7 +127,7 @@ def open_index(items: DataFrame, name: str, *, id: str = "id", fields: dict[str,
         return SearchIndex(spark, path, json.loads(spark.read.text(f"{path}/facts").first()["value"]))
     made = f"{path}-{uuid.uuid4().hex}"
     given = items.select(F.col(id).cast("bigint").alias("id"), *[F.col(c).alias(c) for c in dict.fromkeys(fields.values())])
-    buckets = max(8, planned_bytes(given) // BUCKET_BYTES)
+    buckets = parts_of(given, BUCKET_BYTES)
     write = lambda df, table, by, order: df.repartition(buckets * FILES if buckets > 8 else buckets, by, F.pmod(F.hash("id"), F.lit(FILES if buckets > 8 else 1))).sortWithinPartitions(by, order).write.partitionBy(by).option("compression", "zstd").parquet(f"{made}/{table}")
     # the length goes with every posting, so no other table is read to score it
     length = sum((F.size(analyzer(F.col(c))) for c in fields.values()), F.lit(0))

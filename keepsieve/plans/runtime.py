@@ -105,6 +105,12 @@ def planned_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def parts_of(df: DataFrame, each: int, least: int = 8) -> int:
+    """Number of parts of ``each`` bytes for the rows of ``df``, by the size of its files; rows of unknown size are counted as 100 bytes each."""
+    size = planned_bytes(df)
+    return max(least, (size if size < 1 << 60 else 100 * df.count()) // each)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over the cores if it is small: a single small file has one row group, hence one task.
 

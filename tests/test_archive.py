@@ -247,6 +247,32 @@ def test_search(spark):
     assert [tuple(r) for r in got] == [(1, 3), (7, 7), (9, 10)]
 
 
+def test_index(spark):
+    from keepsieve.operators.index import open_index, with_ranks
+
+    docs = spark.createDataFrame([(1, "sqlite internals", "the b-tree layout of sqlite", "", 5), (2, None, "about trees", "x", 6), (3, "", None, None, 7), (4, "Running", "z", "", 8)], "id int, title string, body string, extra string, ingested_at long")
+    made = open_index(docs, "test-index")
+    for q in ("sqlite tree", "sqlite trees", "x", "", "running"):
+        want = {r["id"]: round(r["bm25"], 9) for r in search.bm25(docs, q, terms=[q] if len(q) == 1 else None).collect()}
+        assert {r["id"]: round(r["bm25"], 9) for r in made.bm25(q).collect()} == want
+    assert open_index(docs, "test-index").path == made.path and open_index(docs.where("id < 4"), "test-index").path != made.path
+    assert made.search("sqllite").first()["id"] == 1 and made.search(" ").count() == 0 and made.search("sqlite", offset=1).count() == 0
+    assert sorted(r["id"] for r in made.candidates("tree", every=True).collect()) == [1, 2] and made.candidates("").count() == 0
+    hits = made.search("sqlite", mode="exact").unionByName(spark.createDataFrame([(99, 0.0, 1)], "id bigint, fused double, exact int"))
+    assert [(r["id"], r["rank"]) for r in with_ranks(docs, hits, F.col("fused").desc()).collect()] == [(1, 1)]
+    assert open_index(docs.limit(0), "empty").bm25("sqlite").count() == 0
+
+
+def test_carry_forward(spark):
+    rows = [(i, "ab"[i % 2], None if i % 5 else f"v{i}", None if i == 3 else 10_000_000_000 * i) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, g string, v string, t long")
+    want, last = {}, {}
+    for i, g, v, _ in sorted(rows, key=lambda r: (r[3] if r[3] is not None else -1, r[0])):
+        last[g] = v or last.get(g)
+        want[i] = last[g]
+    assert {r["id"]: r["carried"] for r in query.carry_forward(df, by="g", value="v", at="t").collect()} == want
+
+
 def test_typo_search_of_long_queries(spark):
     import random
 

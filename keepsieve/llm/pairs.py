@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsieve.plans.runtime import keep_table, planned_bytes, shared_dir
+from keepsieve.plans.runtime import keep_table, parts_of, shared_dir
 
 #: Items of a basket that meet in one task at most, and bytes of the first batch's files for each bucket, about.
 BLOCK, BUCKET_BYTES = 256, 1 << 20
@@ -117,7 +117,7 @@ class PairTable:
         self.version += 1
         try:
             if first:
-                self._state["buckets"] = self._state["buckets"] or max(8, planned_bytes(changed) // BUCKET_BYTES)
+                self._state["buckets"] = self._state["buckets"] or parts_of(changed, BUCKET_BYTES)
                 self._write(hashed.where("item is not null").distinct(), "baskets", None)
                 signed = self._read("baskets").withColumn("sign", F.lit(1))
             else:

@@ -1,11 +1,11 @@
 """Template residue, filler and error pages among saved pages.
 
-Lines are masked (numbers, dates, addresses and the site's name), their exact
-hashes are grouped across sources, and phrase and placeholder rules classify
-them: a line that has the whole shape of a message, an unfilled field or filler
-counts at once, and so does a longer line of mostly such sentences; any other
-line counts if it recurs on several sources (more of them if it holds no word of
-such messages) and rarely with anything else of its own around it. A page is blocked if such lines stand where its content should.
+Lines are masked (unfilled fields, numbers, dates, addresses and the site's
+name), and their exact hashes are grouped across sources. A line is a message if
+it recurs on several sources (more of them if it holds no word of such messages)
+and rarely with anything of the page's own around it; unfilled fields and filler
+count by their shape. A page is blocked if such lines stand where its content
+should.
 """
 
 from __future__ import annotations
